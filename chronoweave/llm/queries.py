@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, mixing, mpeg, pii, quality, secret_scan, sharding, token_files
 from .near_dedup import near_duplicates
-from .shared import ship
+from .shared import fresh_path, ship
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,10 +15,86 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _public(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def _count(spans: str, kind: str | int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup,)}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_files.write_tokens(_documents(spark, sf_dir).select("doc_id", "text"), path, _public("byte_bpe_50k.json"), end_id=2)
+    return token_files.with_crc32(token_files.read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(_documents(spark, sf_dir), keep=["doc_id"])
+    counts = [F.col("__q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *counts, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__posterior").alias("posterior"))
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [_count("pii", k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", *counts)
+
+
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    n = F.length(payload)
+    padded = F.concat(payload, F.substring(F.lit(bytes(64)), F.lit(1), F.when(n == 0, 64).otherwise(F.pmod(-n, F.lit(64))).cast("int")))
+    docs = _documents(spark, sf_dir).select("doc_id", n.cast("long").alias("n_bytes"), padded.alias("payload"))
+    got = mpeg.read_column(mpeg.store_column(docs, "payload").drop("payload"))
+    back = F.col("audio.payload")
+    return got.select(
+        "doc_id", "n_bytes", F.length(back).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"), F.crc32(F.substring(back, -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("audio.feature").alias("feature"),
+        F.col("audio.duration_s").alias("duration_s"), F.col("audio.offsets").alias("frame_offsets"),
+    )
+
+
+def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(_documents(spark, sf_dir), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = _public("byte_bpe_50k.tiktoken"), _pattern()
+    ids = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern).drop("text")
+    both = bpe.decode(ids, ranks, pattern)
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_documents(spark, sf_dir)).drop("copies")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("secret_spans").alias("s"))
+    base = F.filter("s", lambda x: x["kind"] < 3)
+    counts = [_count("s", k).alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+    return out.select("doc_id", *counts, F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("s")).alias("spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_near_dedup, op2_token_files, op4_quality_rules, op5_pii_pseudonyms, op6_mpeg_audio, op7_feistel_sharding, op8_bpe_codec, op9_source_mixing, op10_secret_scan)
+}
 
+#: None of the ten is expressible in SQL as a whole (permutations, EM, hashes, merges); tests/llm has brute force for each.
 ORACLE_SQL: dict[str, str] = {}
