@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, mpeg, pii, quality, secret_scan, sharding, token_files
+from . import bpe, kneser_ney, mixing, mpeg, pii, quality, secret_scan, sharding, token_files
 from .near_dedup import near_duplicates
 from .shared import fresh_path, ship
 
@@ -41,6 +41,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = kneser_ney.train(docs.where("not held_out"))
+    return kneser_ney.score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(_documents(spark, sf_dir), keep=["doc_id"])
     counts = [F.col("__q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -93,7 +101,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_token_files, op4_quality_rules, op5_pii_pseudonyms, op6_mpeg_audio, op7_feistel_sharding, op8_bpe_codec, op9_source_mixing, op10_secret_scan)
+    for f in (op1_near_dedup, op2_token_files, op3_kneser_ney, op4_quality_rules, op5_pii_pseudonyms, op6_mpeg_audio, op7_feistel_sharding, op8_bpe_codec, op9_source_mixing, op10_secret_scan)
 }
 
 #: None of the ten is expressible in SQL as a whole (permutations, EM, hashes, merges); tests/llm has brute force for each.
