@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import without
+
 # Fixed values of the format: kbit/s by version and layer, Hz by version, samples in a frame.
 BITRATES = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -49,6 +51,11 @@ class Header:
     samples: int
     mono: bool
 
+    @property
+    def form(self) -> tuple:
+        """What does not change within a stream."""
+        return self.version, self.layer, self.rate, self.mono
+
     @property
     def side(self) -> int:
         """Bytes of Layer III side information."""
@@ -154,11 +161,12 @@ def parse(data: bytes) -> Audio:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").strip())
-    synced = False
+    form = None  # what all headers of the stream being read agree in
     while at < end:
         h = header(data[at : at + 4])
-        if h and at + h.size <= end and (synced or at + h.size == end or header(data[at + h.size : at + h.size + 4])):
-            synced = True
+        ahead = header(data[at + h.size : at + h.size + 4]) if h else None
+        if h and at + h.size <= end and (h.form == form or at + h.size == end or (ahead and ahead.form == h.form)):
+            form = h.form
             if h.layer != 3 or out.frames or out.table or not _table(data, at, h, out):
                 out.frames.append((at, h))
                 out.samples += h.samples
@@ -168,7 +176,6 @@ def parse(data: bytes) -> Audio:
                     out.checked_right += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6])
             at += h.size
             continue
-        synced = False
         found = data.find(b"\xff", at + 1, end)
         out.skipped += (found if found >= 0 else end) - at
         at = found if found >= 0 else end
@@ -196,7 +203,7 @@ def store(payload: bytes) -> bytes:
     first_size = _SIZES[next(i for i in range(1, 15) if _SIZES[i] >= 21 + 116)]
     total = first_size + sum(map(len, frames))
     ends = first_size + np.cumsum([0] + [len(f) for f in frames])
-    toc = bytes(int(256 * ends[len(frames) * i // 100] // total) for i in range(100))
+    toc = bytes(min(255, int(256 * ends[len(frames) * i // 100] // total)) for i in range(100))
     table = _head(_SIZES.index(first_size), False) + _SIDE + b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
     text = b"\3payload_bytes\0" + str(len(payload)).encode()
     tag = b"TXXX" + bytes((0, 0, 0, len(text), 0, 0)) + text
@@ -244,15 +251,17 @@ def _read(batches: Iterator[pa.RecordBatch]):
 
 
 def store_column(rows: DataFrame, payload_col: str, out: str = "media") -> DataFrame:
-    """rows with one more column, the stream that holds the payload column's bytes."""
+    """rows with one more column, the stream that holds the payload column's bytes; a column of its name is replaced."""
+    rows = without(rows, out)
     plain = rows.selectExpr("struct(*) AS row", f"cast(`{payload_col}` AS binary) AS payload")
     return plain.mapInArrow(partial(_stored), f"row {plain.schema['row'].dataType.simpleString()}, media binary").selectExpr("row.*", f"media AS `{out}`")
 
 
 def read_column(rows: DataFrame, media_col: str = "media", out: str = "audio") -> DataFrame:
-    """rows with one more column, a struct: payload, frames, samples, rate, duration_s, checksums, skipped, offsets, feature."""
+    """rows with one more column, a struct: payload, frames, samples, rate, duration_s, checksums, skipped, offsets, feature; a column of its name is replaced."""
+    rows = without(rows, out)
     others = [c for c in rows.columns if c != media_col]
-    plain = rows.selectExpr(f"struct({', '.join(f'`{c}`' for c in others)}) AS row", f"`{media_col}` AS media")
+    plain = rows.selectExpr(f"struct({', '.join(f'`{c}`' for c in others) or '0 AS none'}) AS row", f"`{media_col}` AS media")
     kind = "payload binary, frames long, samples long, rate int, duration_s double, crc_right long, crc_all long, skipped long, offsets array<long>, feature string"
     got = plain.mapInArrow(_read, f"row {plain.schema['row'].dataType.simpleString()}, media binary, {kind}")
-    return got.selectExpr("row.*", f"media AS `{media_col}`", f"struct({', '.join(x.split()[0] for x in kind.split(', '))}) AS `{out}`")
+    return got.selectExpr(*[f"row.`{c}`" for c in others], f"media AS `{media_col}`", f"struct({', '.join(x.split()[0] for x in kind.split(', '))}) AS `{out}`")

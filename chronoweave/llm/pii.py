@@ -21,6 +21,8 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import without
+
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 DEFAULT_KEY = b"chronoweave-pseudonyms"
@@ -221,7 +223,8 @@ def _replaced(batches: Iterator[pa.RecordBatch], key: bytes):
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", out: str = "pii", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with pseudonyms in text_col, and one more column: the spans replaced (places in the old text)."""
+    """docs with pseudonyms in text_col, and one more column: the spans replaced (places in the old text); a column of its name goes."""
+    docs = without(docs, out)
     names = [f"c{i}" for i, c in enumerate(docs.columns) if c != text_col]
     at = docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -166,5 +166,7 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, min_
 
 def keep_good(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The documents that pass, with the columns of docs."""
-    out = judged(docs, text_col, **how).where("__kept")
-    return out.drop("__q", "__posterior", "__base_failed", "__kept")
+    out = judged(docs, text_col, **how)
+    n = len(docs.columns)
+    plain = out.toDF(*[f"d{i}" for i in range(n)], "q", "posterior", "failed", "kept").where("kept")
+    return plain.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -132,8 +132,8 @@ def as_text(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
-    """docs with one more column, the array of spans."""
-    return docs.select("*", secret_spans(docs[f"`{text_col}`"].cast("string")).alias(out))
+    """docs with one more column, the array of spans; a column of its name is replaced."""
+    return docs.withColumn(out, secret_spans(docs[f"`{text_col}`"].cast("string")))
 
 
 def redacted(text: Column, spans: Column) -> Column:
