@@ -38,7 +38,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write_tokens(_documents(spark, sf_dir).select("doc_id", "text"), path, _public("byte_bpe_50k.json"), end_id=2)
-    return token_files.with_crc32(token_files.read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+    return token_files.read_tokens(spark, path, checksum=True).withColumnRenamed("id", "doc_id")
 
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

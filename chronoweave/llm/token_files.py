@@ -14,9 +14,11 @@ writer's commit protocol makes retried tasks safe, on any file system Spark can
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .units import units
+from .units import WORD, units
 
 MAGIC = b"CWEF0001"
 _HEAD = struct.Struct("<8sQQBB6xQQ")
@@ -34,7 +36,7 @@ SAMPLE = 256
 #: Ids in an image; a longer document has an image of its own.
 IMAGE_IDS = 1 << 19
 #: Distinct pieces whose ids a worker keeps; then it starts anew.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 600_000
 
 
 class EliasFano:
@@ -82,12 +84,12 @@ class EliasFano:
         return values
 
 
-def pack(keys: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
-    """An image of documents; null keys come first."""
-    bounds = EliasFano.of(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64))
-    flat = np.concatenate(ids) if ids else np.zeros(0)
-    head = _HEAD.pack(MAGIC, len(keys), len(flat), width, bounds.low_bits, len(bounds.high), sum(k is None for k in keys))
-    return b"".join([head, np.array([k or 0 for k in keys], "<i8").tobytes(), bounds.low.tobytes(), bounds.high.tobytes(), bounds.samples.tobytes(), flat.astype(f"<u{width}").tobytes()])
+def pack(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
+    """An image of documents, whose ids are given as bytes; null keys come first."""
+    bounds = EliasFano.of(np.concatenate(([0], np.cumsum([len(x) // width for x in ids]))).astype(np.int64))
+    flat = b"".join(ids)
+    head = _HEAD.pack(MAGIC, len(keys), len(flat) // width, width, bounds.low_bits, len(bounds.high), sum(k is None for k in keys))
+    return b"".join([head, np.array([k or 0 for k in keys], "<i8").tobytes(), bounds.low.tobytes(), bounds.high.tobytes(), bounds.samples.tobytes(), flat])
 
 
 def unpack(image: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
@@ -108,8 +110,27 @@ def unpack(image: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [None] * n_null + keys[n_null:], bounds, take(f"<u{width}", n_ids)
 
 
-class Encoder:
-    """Whole texts to ids with the tokenizers library; every distinct piece goes through the library once while it is kept."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    out, n = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(n)
+            n += 1
+    return out
+
+
+_LETTERS = _byte_letters()
+
+
+class Encoder(dict):
+    """Pieces of text to their ids' bytes, by the tokenizers library; a piece goes through it once while it is kept.
+
+    A word of letters is one pre-token, which the library's model takes without its splitting; marks that
+    follow it are pre-tokens of their own. All else goes through the library's whole pipeline.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,22 +138,29 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        kinds = json.loads(self.library.to_str())
+        step = kinds["pre_tokenizer"] or {}
+        self.plain = kinds["normalizer"] is None and step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True)
+        self.model = self.library.model
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        pieces = units(text)
-        try:
-            raw = b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = list({p for p in pieces if p not in self.known})
-            if len(self.known) + len(new) > KEPT_UNITS:
-                self.known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, f"<u{self.width}").tobytes()
-            raw = b"".join(map(self.known.__getitem__, pieces))
-        return np.frombuffer(raw, f"<u{self.width}")
+        self.code = "H" if self.width == 2 else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        m = WORD.fullmatch(piece) if self.plain else None
+        if m is None:
+            ids = array(self.code, self.library.encode(piece, add_special_tokens=False).ids)
+        elif m[2]:
+            ids = self[m[1]] + self[m[2]]
+        else:
+            ids = array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
+        if len(self) >= KEPT_UNITS:
+            self.clear()
+        self[piece] = ids = ids if isinstance(ids, bytes) else ids.tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text, little-endian, width bytes each."""
+        return b"".join(map(self.__getitem__, units(text)))
 
 
 @lru_cache(maxsize=2)
@@ -141,24 +169,24 @@ def encoder(path: str) -> Encoder:
 
 
 def _images(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
-    encode, shard = encoder(path), TaskContext.get().partitionId()
-    base, held_keys, held, n = 0, [], [], 0
-    end = np.array([end_id], f"<u{encode.width}")
+    pieces, shard = encoder(path), TaskContext.get().partitionId()
+    base, keys, held, n = 0, [], [], 0
+    end = end_id.to_bytes(pieces.width, "little")
     names = ["shard", "base", "n_docs", "n_ids", "image"]
 
     def image():
-        row = [[shard], [base], [len(held_keys)], [n], [pack(held_keys, held, encode.width)]]
+        row = [[shard], [base], [len(keys)], [n], [pack(keys, held, pieces.width)]]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.concatenate((encode(text.as_py() or ""), end))
-            if held and n + len(ids) > IMAGE_IDS:
+            ids = pieces.encode(text.as_py() or "") + end
+            if held and n + len(ids) // pieces.width > IMAGE_IDS:
                 yield image()
-                base, held_keys, held, n = base + n, [], [], 0
-            held_keys.append(key)
+                base, keys, held, n = base + n, [], [], 0
+            keys.append(key)
             held.append(ids)
-            n += len(ids)
+            n += len(ids) // pieces.width
     if held:
         yield image()
 
@@ -175,18 +203,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     images.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]):
-    names = ["id", "start", "n_tokens", "ids"]
+def _documents(batches: Iterator[pa.RecordBatch], checksum: bool):
+    names = ["id", "start", "n_tokens", "ids_crc32" if checksum else "ids"]
     for batch in batches:
         for base, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             keys, bounds, ids = unpack(image.as_py())
             at = bounds.all()
-            lists = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), lists], names)
+            if checksum:
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                last = pa.array([zlib.crc32(wide[4 * b : 4 * e]) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+            else:
+                last = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), last], names)
+
 
+def read_tokens(spark: SparkSession, path: str, checksum: bool = False) -> DataFrame:
+    """Per document, from the files: id, start (ids of all documents before it), n_tokens and ids.
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: id, start (ids of all documents before it), n_tokens and ids."""
+    With checksum, instead of the ids, ids_crc32: the unsigned crc32 of them as little-endian unsigned 32-bit integers.
+    """
     images = spark.read.schema("shard int, base long, n_docs long, n_ids long, image binary").parquet(path)
     total, starts = 0, []
     for shard, n in sorted(tuple(r) for r in images.groupBy("shard").agg(F.sum("n_ids")).collect()):  # a number for each file
@@ -194,19 +229,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         total += n
     offsets = F.broadcast(spark.createDataFrame(starts, "shard int, first long"))
     rows = images.join(offsets, "shard").select((F.col("first") + F.col("base")).alias("base"), "image")
-    return rows.mapInArrow(_documents, "id long, start long, n_tokens long, ids array<int>")
-
-
-def _checked(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        ids, at = batch.column(1).values.to_numpy().astype("<u4"), batch.column(1).offsets.to_numpy()
-        crc = [zlib.crc32(ids[at[i] : at[i + 1]].tobytes()) for i in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], ["row", "crc"])
-
-
-def with_crc32(rows: DataFrame, ids_col: str = "ids", out: str = "ids_crc32") -> DataFrame:
-    """rows with the unsigned crc32 of the ids as little-endian unsigned 32-bit integers, instead of the ids."""
-    others = [c for c in rows.columns if c != ids_col]
-    plain = rows.select(F.struct(*others).alias("row"), F.col(ids_col).alias("ids"))
-    kind = plain.schema["row"].dataType.simpleString()
-    return plain.mapInArrow(_checked, f"row {kind}, crc long").select("row.*", F.col("crc").alias(out))
+    last = "ids_crc32 long" if checksum else "ids array<int>"
+    return rows.mapInArrow(partial(_documents, checksum=checksum), f"id long, start long, n_tokens long, {last}")
