@@ -152,16 +152,18 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes (node, comp) of different components that share one of their rarest shingles.
 
     Sets with Jaccard >= percent share one of the first n - ceil(percent * n / 100) + 1 elements of each
-    in any common order, so none is lost.
+    in any common order; at the first one they share, what follows in both must suffice for the overlap.
+    So none is lost, and sets that share only what is frequent do not meet.
     """
     own = written(nodes.join(sets, "node").select("node", "comp", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
     often = own.groupBy("g").agg(F.count("*").alias("c"))
     first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
     kept = own.join(often, "g").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("s"))
-    kept = kept.select("node", "comp", "n", F.explode(F.slice("s", F.lit(1), first)).alias("e")).where("e.c > 1").select("node", "comp", "n", F.col("e.g").alias("g"))
-    kept = written(kept, "prefixes")
+    kept = kept.select("node", "comp", "n", F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "e")).where("e.c > 1")
+    kept = written(kept.select("node", "comp", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("e.g").alias("g")), "prefixes")
     x, y = kept.alias("x"), kept.alias("y")
-    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    enough = (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n"))
+    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & enough
     return x.join(y, (F.col("x.g") == F.col("y.g")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
