@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes hashed at a time; a longer word extends its piece.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RADIX = 0xD6E8FEB86659FD93
