@@ -1,0 +1 @@
+"""Column functions of intervals, resolutions, quantifiers, reducers and series."""

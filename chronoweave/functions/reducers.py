@@ -33,6 +33,6 @@ def fold(step: Callable[[Column, Column], Column]) -> Reducer:
 
     def run(a: Column, s: Column) -> Column:
         ordered = F.transform(F.array_sort(F.collect_list(F.struct(s.alias("s"), a.alias("a")))), lambda x: x["a"])
-        return F.reduce(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.get(ordered, F.lit(0)), step)
+        return F.reduce(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.get(ordered, F.lit(0)), lambda x, y: step(x, y))
 
     return run

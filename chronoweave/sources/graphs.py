@@ -45,9 +45,11 @@ def _read(spark: SparkSession, paths: Sequence[str], keys: list[str], attr: int
     df = spark.read.parquet(*paths)
     lo, hi = (None if d is None else F.lit(int(datetime.datetime(d.year, d.month, d.day, tzinfo=datetime.UTC).timestamp())) for d in bounds)
     if lo is not None:
-        df = df.where(F.col("eend") > lo).withColumn("estart", F.greatest("estart", lo))
+        df = df.where(F.col("eend") > lo)
     if hi is not None:
-        df = df.where(F.col("estart") < hi).withColumn("eend", F.least("eend", hi))
+        df = df.where(F.col("estart") < hi)
+    clipped = {} if lo is None else {"estart": F.greatest("estart", lo)}
+    df = df.withColumns(clipped | ({} if hi is None else {"eend": F.least("eend", hi)}))
     extra = [c for c in df.columns if c not in keys]
     if isinstance(attr, int):  # 1-based among the attributes; -1 for none
         if attr == -1:
