@@ -8,10 +8,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,13 +30,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, by: Iterable[str] = (), codec: str = "zstd") -> DataFrame:
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Within, notes the tables that are written, for `remove`."""
+    _recorded.append(paths)
+    try:
+        yield
+    finally:
+        _recorded.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more, on any file system."""
+    for path in paths:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    paths.clear()
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).partitionBy(*by).parquet(path)
+    if _recorded:
+        _recorded[-1].append(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has no more than so many (short) rows; counts it, so it should be a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops columns by exact name."""
     return df.select(*[df[f"`{c}`"] for c in df.columns if c not in names])

@@ -7,38 +7,58 @@ stage 4 repeats or leaves out documents to meet the sources' targets; stage 5 en
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, mixing, near_dedup, quality, secret_scan
-from chronoweave.llm.shared import ship, written
+from chronoweave.llm.shared import fresh_path, recording, remove, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
 
+#: Tables that the last stage wrote for itself. Its result is on disk when the next stage begins, so they go then.
+_scratch: list[str] = []
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _scratch)
+        with recording(_scratch):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents that fail the base rule or whose posterior quality is under one half."""
     return quality.keep_good(docs)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of every group of near-duplicates the document with the least id."""
     ship(spark)
     return near_dedup.drop_near_duplicates(docs, words=5, percent=80)
 
 
+@_stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by a mark; n_chars follows the new text."""
     out = secret_scan.redact(docs)
     return out.withColumn("n_chars", F.when(out["text"].isNotNull() & out["n_chars"].isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that every source's words come near its target."""
     return mixing.mix(docs)
 
 
+@_stage
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether they decode to it: doc_id, source, ids, n_tokens, round_trip."""
     ship(spark)
@@ -63,5 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
