@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions.interval import START
+from chronoweave.plans.graph import E_COLUMNS, TemporalGraph
+
 STRATEGIES = ("canonical_random_vertex_cut", "edge_partition_2d", "naive_temporal", "consecutive_temporal", "hybrid_random_temporal", "hybrid_2d_temporal")
 
 
@@ -49,6 +53,15 @@ def partition_by(edges: DataFrame, strategy: str, n: int, intervals: int, runs:
     return edges.withColumn("part", part_of(strategy, n, intervals, runs)).repartition(n, "part")
 
 
+def partition_graph(g: TemporalGraph, strategy: str, n: int, runs: int = 1) -> TemporalGraph:
+    """The graph with its edge tuples dealt by a strategy, temporal ones by the snapshot in which a tuple starts; vertices by id."""
+    sequence = g.sequence().select("idx", F.col(START).alias("__s")).persist()
+    starts = F.broadcast(sequence)  # a row for each day at most
+    numbered = g.edges.join(starts, F.col(START) == F.col("__s")).withColumn("t", F.col("idx"))
+    e = partition_by(numbered, strategy, n, sequence.count(), runs).select(*E_COLUMNS)
+    return replace(g, vertex_tuples=g.vertices.repartition(n, "vid"), edge_tuples=e, v_coalesced=True, e_coalesced=True)
+
+
 def estimate_partitions(megabytes: float) -> int:
     """How many partitions to read an input into, by its size."""
     if megabytes < 8:

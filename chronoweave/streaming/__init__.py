@@ -1,0 +1 @@
+"""The feature set that this engine covers has no streaming operators; batch plans are all there is."""

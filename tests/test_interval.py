@@ -105,3 +105,11 @@ def test_series(spark):
     assert linear_trend(v.where("value < 5"), ["k"], Resolution(1)).first().slope == 0.6
     points = spark.createDataFrame([(1, x, 2.0 * x + 1) for x in range(5)], "k int, x int, y double")
     assert slope(points, ["k"], "x", "y").first().slope == 2.0
+
+
+def test_property_bags(spark):
+    from chronoweave.functions import properties as P  # noqa: N812
+
+    a, b = P.bag(name="x", kind="k"), P.bag(kind="l", more="m")
+    r = row(spark, P.size(a), P.exists(a, "name"), P.exists(a, "more"), P.get(a, "kind"), P.get(a, "none"), P.names(P.drop(a, "name")), P.merged(a, b), P.put(a, "name", F.lit("y")), P.size(P.bag()))
+    assert tuple(r) == (2, True, False, "k", None, ["kind"], {"name": "x", "kind": "l", "more": "m"}, {"name": "y", "kind": "k"}, 0)

@@ -96,3 +96,11 @@ def test_partition_names_and_estimates():
     with pytest.raises(ValueError):
         partition.part_of("none", 4, 4)
     assert [partition.estimate_partitions(x) for x in (5, 100, 1000, 2000)] == [2, 16, 225, 248]
+
+
+@pytest.mark.parametrize("strategy", partition.STRATEGIES)
+def test_partitioned_graph_is_the_same_graph(spark, strategy):
+    g = partition.partition_graph(graph(spark, U1, E1A), strategy, 3, 2)
+    assert g.num_partitions() == (3, 3)
+    same_v(g.vertices, U1)
+    same_e(g.edges, E1A)
