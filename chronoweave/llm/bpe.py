@@ -1,8 +1,8 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task takes its documents block by block as a corpus of its own: the distinct pre-tokens become one
-array of symbols linked to their neighbours; an inverted index leads from a pair's rank to the positions
-where it stands. Ranks are applied in ascending order, every merge at all its positions at once; only the
+Each task takes its documents block by block as a corpus of its own: the distinct pre-tokens that it does not
+know yet become one array of symbols linked to their neighbours; an inverted index leads from a pair's rank to
+the positions where it stands. Ranks are applied in ascending order, every merge at all its positions at once; only the
 touched neighbours get new pairs, which join the index. Words are independent of each other, so a block's
 replay gives what the whole corpus's would, without a shuffle. A word in which a merge brings up a pair of a
 lower rank is done again alone, in the sequential order, so results are always those of greedy merging.
@@ -23,11 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import units
+from .shared import without
+from .units import WORD, units
 from .words import blocks
 
-#: Characters of text in a block.
-BLOCK_CHARS = 40 << 20
+#: Characters of text in a block, and pieces whose ids a worker keeps from block to block.
+BLOCK_CHARS = 6 << 20
+KEPT_PIECES = 300_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -83,6 +85,11 @@ def _leftmost(at: np.ndarray, following: np.ndarray) -> np.ndarray:
     return at[nth % 2 == 0]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, one after another, and len(words) + 1 offsets."""
     sizes = np.array([len(w) for w in words], np.int64)
@@ -119,11 +126,11 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     while heap:
         r = heapq.heappop(heap)
         found = index.pop(r)
-        at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        at = _distinct(np.concatenate(found))
         at = at[current[at] == r]
         if not len(at):
             continue
-        at = _leftmost(np.sort(at), after[np.sort(at)])
+        at = _leftmost(at, after[at])
         gone = after[at]
         to = after[gone]
         sym[at] = r
@@ -132,7 +139,7 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         current[gone] = _NONE
         sym[gone] = -1
         left = before[at]
-        touched = np.unique(np.concatenate((at, left[left >= 0])))
+        touched = _distinct(np.concatenate((at, left[left >= 0])))
         there = after[touched] >= 0
         current[touched[~there]] = _NONE
         touched = touched[there]
@@ -159,58 +166,57 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return ids, offsets
 
 
-def _gathered(flat: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """flat[offsets[p]:offsets[p + 1]] for every p of picks, one after another."""
-    sizes = offsets[picks + 1] - offsets[picks]
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(offsets[picks] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+class Pieces(dict):
+    """Pieces of text to their ids (int32, as bytes). New ones are learned a block at a time, by replay."""
 
+    def __init__(self, v: Vocabulary):
+        self.v = v
 
-def encode_block(texts: list[str | None], v: Vocabulary) -> list[np.ndarray]:
-    """The ids of each text."""
-    unit_no: dict[str, int] = {}
-    rows = [np.fromiter((unit_no.setdefault(u, len(unit_no)) for u in units(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
-    word_no: dict[str, int] = {}
-    of_unit, cuts = [], [0]
-    for u in unit_no:
-        of_unit.extend(word_no.setdefault(w, len(word_no)) for w in v.split(u))
-        cuts.append(len(of_unit))
-    ids, at = replay([w.encode("utf-8", "replace") for w in word_no], v)
-    of_unit, cuts = np.array(of_unit, np.int64), np.array(cuts)
-    unit_ids = _gathered(ids, at, of_unit)
-    unit_at = np.concatenate(([0], np.cumsum(at[of_unit + 1] - at[of_unit])))[cuts]
-    return [_gathered(unit_ids, unit_at, r) for r in rows]
+    def learn(self, pieces: list[list[str]]) -> None:
+        new = list(set().union(*pieces).difference(self))
+        if len(self) + len(new) > KEPT_PIECES:
+            self.clear()
+            new = list(set().union(*pieces))
+        word_no: dict[str, int] = {}
+        of_piece, cuts = [], [0]
+        for u in new:
+            m = WORD.fullmatch(u)
+            words = self.v.split(u) if m is None else m.groups() if m[2] else (u,)
+            of_piece.extend([word_no.setdefault(w, len(word_no)) for w in words])
+            cuts.append(len(of_piece))
+        ids, at = replay([w.encode("utf-8", "replace") for w in word_no], self.v)
+        raw, ends = ids.astype("<i4").tobytes(), (4 * at).tolist()
+        words = [raw[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
+        for u, b, e in zip(new, cuts[:-1], cuts[1:], strict=True):
+            self[u] = words[of_piece[b]] if e - b == 1 else b"".join([words[w] for w in of_piece[b:e]])
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, path: str, pattern: str, out: str):
-    v = vocabulary(path, pattern)
-    held, size = [], 0
-
-    def done(held: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(held).combine_chunks()
-        texts = table.column(text_at).to_pylist()
-        ids = encode_block(texts, v)
-        for b, e in blocks([len(x) for x in ids], 4 << 20):
-            flat = np.concatenate(ids[b:e]) if e > b else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in ids[b:e]]))).astype(np.int32), flat)
-            rows = table.slice(b, e - b).combine_chunks().append_column(out, lists)
-            yield from rows.to_batches()
+def encode_block(texts: list[str | None], known: Pieces) -> list[bytes]:
+    """The ids of each text, int32."""
+    pieces = [units(t) if t else [] for t in texts]
+    known.learn(pieces)
+    return [b"".join(map(known.__getitem__, p)) for p in pieces]
+
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str, pattern: str) -> Pieces:
+    return Pieces(vocabulary(path, pattern))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, path: str, pattern: str, out: str):
+    known = pieces_of(path, pattern)
     for batch in batches:
-        lengths = [len(t.as_py() or "") for t in batch.column(text_at)]
-        for b, e in blocks(lengths, BLOCK_CHARS):
-            n = sum(lengths[b:e])
-            if held and size + n > BLOCK_CHARS:
-                yield from done(held)
-                held, size = [], 0
-            held.append(batch.slice(b, e - b))
-            size += n
-    if held:
-        yield from done(held)
+        texts = batch.column(text_at).to_pylist()
+        for b, e in blocks([len(t or "") for t in texts], BLOCK_CHARS):
+            ids = encode_block(texts[b:e], known)
+            at = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(at, np.frombuffer(b"".join(ids), np.int32))
+            yield pa.RecordBatch.from_arrays([*(c.slice(b, e - b) for c in batch.columns), lists], [*batch.schema.names, out])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with one more column, the array of ids of the whole text."""
+    """docs with one more column, the array of ids of the whole text; a column of its name is replaced."""
+    docs = without(docs, out)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
@@ -222,13 +228,14 @@ def _decoded(batches: Iterator[pa.RecordBatch], ids_at: int, path: str, pattern:
     token = vocabulary(path, pattern).bytes.__getitem__
     for batch in batches:
         lists = batch.column(ids_at)
-        flat, at = lists.values.to_pylist(), lists.offsets.to_numpy()
-        texts = [b"".join(map(token, flat[at[i] : at[i + 1]])) for i in range(len(lists))]
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        texts = [b"".join(map(token, flat[at[i] : at[i + 1]].tolist())) for i in range(len(lists))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with one more column, the bytes that the ids stand for; null ids are none."""
+    """rows with one more column, the bytes that the ids stand for; null ids are none; a column of its name is replaced."""
+    rows = without(rows, out)
     names = [f"c{i}" for i in range(len(rows.columns))]
     at = rows.columns.index(ids_col)
     plain = rows.toDF(*names).withColumn(f"c{at}", F.coalesce(F.col(f"c{at}"), F.array().cast("array<int>")))
