@@ -159,7 +159,7 @@ def _email(s: str, key: bytes) -> str | None:
 
 
 FINDERS: dict[str, tuple[re.Pattern, Callable[[str, bytes], str | None]]] = {
-    "card": (re.compile(r"(?<![\w+])(?<![0-9][ .-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])(?![A-Za-z_])"), _card),
+    "card": (re.compile(r"(?<!\w)(?<!\+)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)"), _card),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
     "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
     "phone": (re.compile(r"(?<!\w)\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"), _phone),

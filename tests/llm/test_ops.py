@@ -289,6 +289,14 @@ def test_feistel_is_a_permutation(n):
     assert sorted(sharding.permute(x, n, 5).tolist()) == list(range(n))
 
 
+def test_every_card_of_a_row_of_numbers_is_found():
+    valid, other = "4111111111111111", "5500005555555559"
+    for text in (f"{valid} {other}", f"12 {valid} {other}-", f"{valid},{other}", f"1234567890123456 {valid} {other}", f"5 4111 1111 1111 1111 {other}"):
+        found = [text[s:e].replace(" ", "") for s, e, kind, _ in pii.findings(text) if kind == "card"]
+        assert found == [valid, other], text
+    assert not pii.findings("1234567890123456 41111111111111112 x4111111111111111 4111111111111111x")
+
+
 def test_pseudonyms_are_one_to_one():
     dates = [pii._date(f"2020-01-{d:02d}", b"k") for d in range(1, 32)]
     assert len(set(dates)) == 31
