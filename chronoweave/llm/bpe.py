@@ -27,9 +27,9 @@ from .shared import without
 from .units import WORD, units
 from .words import blocks
 
-#: Characters of text in a block, and pieces whose ids a worker keeps from block to block.
-BLOCK_CHARS = 6 << 20
-KEPT_PIECES = 300_000
+#: Characters of text in a block, and pieces whose ids a worker keeps, twice, from block to block.
+BLOCK_CHARS = 5 << 20
+KEPT_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -171,12 +171,17 @@ class Pieces(dict):
 
     def __init__(self, v: Vocabulary):
         self.v = v
+        self.older: dict[str, bytes] = {}
 
     def learn(self, pieces: list[list[str]]) -> None:
-        new = list(set().union(*pieces).difference(self))
-        if len(self) + len(new) > KEPT_PIECES:
+        new = set().union(*pieces).difference(self)
+        if len(self) + len(new) > KEPT_PIECES:  # what is in use comes back from the older ones
+            self.older = dict(self)
             self.clear()
-            new = list(set().union(*pieces))
+            new = set().union(*pieces)
+        back = new.intersection(self.older)
+        self.update((u, self.older[u]) for u in back)
+        new = list(new - back)
         word_no: dict[str, int] = {}
         of_piece, cuts = [], [0]
         for u in new:
@@ -203,25 +208,35 @@ def pieces_of(path: str, pattern: str) -> Pieces:
     return Pieces(vocabulary(path, pattern))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, path: str, pattern: str, out: str):
+def _text_of(ids: bytes, token) -> bytes:
+    return b"".join(map(token, np.frombuffer(ids, np.int32).tolist()))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, path: str, pattern: str, back: bool):
     known = pieces_of(path, pattern)
+    token = known.v.bytes.__getitem__
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
         for b, e in blocks([len(t or "") for t in texts], BLOCK_CHARS):
             ids = encode_block(texts[b:e], known)
             at = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(at, np.frombuffer(b"".join(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([*(c.slice(b, e - b) for c in batch.columns), lists], [*batch.schema.names, out])
+            more = [pa.ListArray.from_arrays(at, np.frombuffer(b"".join(ids), np.int32))]
+            if back:
+                more.append(pa.array([_text_of(x, token) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(c.slice(b, e - b) for c in batch.columns), *more], [*batch.schema.names, "ids", "decoded"][: len(batch.columns) + len(more)])
+
 
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with one more column, the array of ids of the whole text; a column of its name is replaced.
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with one more column, the array of ids of the whole text; a column of its name is replaced."""
-    docs = without(docs, out)
+    With decoded, also the bytes that the ids decode to, made in the same pass.
+    """
+    docs = without(docs, out, *[decoded] * bool(decoded))
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    run = partial(_encoded, text_at=docs.columns.index(text_col), path=path, pattern=pattern, out="ids")
-    return plain.mapInArrow(run, f"{kinds}, ids array<int>").toDF(*docs.columns, out)
+    run = partial(_encoded, text_at=docs.columns.index(text_col), path=path, pattern=pattern, back=bool(decoded))
+    return plain.mapInArrow(run, f"{kinds}, ids array<int>" + ", decoded binary" * bool(decoded)).toDF(*docs.columns, out, *[decoded] * bool(decoded))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ids_at: int, path: str, pattern: str):
@@ -229,7 +244,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], ids_at: int, path: str, pattern:
     for batch in batches:
         lists = batch.column(ids_at)
         flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        texts = [b"".join(map(token, flat[at[i] : at[i + 1]].tolist())) for i in range(len(lists))]
+        texts = [_text_of(flat[at[i] : at[i + 1]].tobytes(), token) for i in range(len(lists))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
 

@@ -82,8 +82,7 @@ def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = _public("byte_bpe_50k.tiktoken"), _pattern()
-    ids = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern).drop("text")
-    both = bpe.decode(ids, ranks, pattern)
+    both = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern, decoded="decoded")
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

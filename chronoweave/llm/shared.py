@@ -73,8 +73,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch, where Spark's default of 10 000 stands: texts may be long, and a task holds several batches.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, for workers that lack it."""
+    """Prepares a session for Arrow operators on texts: bounds batches, and sends this package to the executors,
+    once per application, for workers that lack it."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
