@@ -27,7 +27,7 @@ from .shared import without
 from .units import WORD, units
 from .words import blocks
 
-#: Characters of text in a block, and pieces whose ids a worker keeps, twice, from block to block.
+#: Characters of text in a block, and pieces whose ids a task keeps, twice, from block to block.
 BLOCK_CHARS = 5 << 20
 KEPT_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
@@ -203,17 +203,12 @@ def encode_block(texts: list[str | None], known: Pieces) -> list[bytes]:
     return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
 
-@lru_cache(maxsize=2)
-def pieces_of(path: str, pattern: str) -> Pieces:
-    return Pieces(vocabulary(path, pattern))
-
-
 def _text_of(ids: bytes, token) -> bytes:
     return b"".join(map(token, np.frombuffer(ids, np.int32).tolist()))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, path: str, pattern: str, back: bool):
-    known = pieces_of(path, pattern)
+    known = Pieces(vocabulary(path, pattern))  # a task's own, so that an idle worker holds none
     token = known.v.bytes.__getitem__
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
