@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney bigrams: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
 
 A token is a word (A-Z lowered) or the end of a text, known by a 64-bit hash. Counting is block-wise: a task
-counts the distinct bigrams of some 16 million characters, and deals them to a grid of parts by the hashes of
+counts the distinct bigrams of some 14 million characters, and deals them to a grid of parts by the hashes of
 both words, so that a word with a third of all bigrams is spread over a row of the grid. Each part merges its
 blocks, writes its bigrams as a sorted hash array with counts, and passes on per-word sums; those are merged
 by word hash into the words files. Discounts come from counts of counts (a few numbers from each part).
@@ -18,7 +18,9 @@ p is 1; equal texts have equal scores; repeated rows count as often as they stan
 from __future__ import annotations
 
 import math
+import mmap
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import fresh_path, written
 from .words import blocks, mix, word_hashes
 
-#: Characters whose bigrams a task counts at a time, and hashes at a time.
-COUNT_CHARS, HASH_CHARS = 16 << 20, 4 << 20
+#: Characters whose bigrams a task counts at a time, scores at a time, and hashes at a time.
+COUNT_CHARS, SCORE_CHARS, HASH_CHARS = 14 << 20, 8 << 20, 4 << 20
 #: Characters of text for each part of the grid.
 PART_CHARS = 12 << 20
 _U = np.uint64
@@ -47,6 +49,7 @@ class Model:
 
     path: str
     side: int
+    word_parts: int
     tokens: int
     words: int
     bigram_types: int
@@ -75,15 +78,15 @@ def _store(folder: str, name: str, **arrays: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=16384)
 def _mapped(file: str) -> dict[str, np.ndarray]:
-    out, at = {}, 256
+    """The arrays of a file, mapped; no descriptor stays open where Python can do without."""
     with open(file, "rb") as f:
-        line = f.read(256).decode().strip()
-    for one in line.split(","):
+        raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+    out, at = {}, 256
+    for one in raw[:256].decode().strip().split(","):
         name, kind, n = one.split(":")
-        n = int(n)
-        out[name] = np.memmap(file, np.dtype(kind), "r", at, n) if n else np.zeros(0, np.dtype(kind))
+        out[name] = np.frombuffer(raw, np.dtype(kind), int(n), at)
         at += out[name].nbytes + -out[name].nbytes % 8
     return out
 
@@ -100,6 +103,10 @@ def _cell(u: np.ndarray, v: np.ndarray, side: int) -> np.ndarray:
     return ((u >> _U(40)) % _U(side) * _U(side) + (v >> _U(40)) % _U(side)).astype(np.int64)
 
 
+def _part(w: np.ndarray, parts: int) -> np.ndarray:
+    return ((w >> _U(40)) % _U(parts)).astype(np.int64)
+
+
 def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return mix(u * _PAIR + v)
 
@@ -159,7 +166,7 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros(0, kind)
 
 
-def _merge_cell(table: pa.Table, folder: str, side: int) -> pa.Table:
+def _merge_cell(table: pa.Table, folder: str, word_parts: int) -> pa.Table:
     """One part of the grid: writes its bigrams, and returns sums per word dealt by word hash, and counts of counts."""
     cell = table.column("cell")[0].as_py()
     u, v, c = _joined(table.column("u"), "<u8"), _joined(table.column("v"), "<u8"), _joined(table.column("c"), "<u4").astype(np.int64)
@@ -181,7 +188,7 @@ def _merge_cell(table: pa.Table, folder: str, side: int) -> pa.Table:
     second = [sv[at], np.add.reduceat(sc, at), np.diff(np.concatenate((at, [len(sv)])))]
     rows = []
     for kind, (w, *sums) in enumerate((first, second)):
-        part = ((w >> _U(40)) % _U(side)).astype(np.int64)
+        part = _part(w, word_parts)
         for q in np.unique(part).tolist():
             here = part == q
             rows.append((q, kind, w[here].tobytes(), np.stack([s[here] for s in sums]).astype("<i4" if max(map(int, (s.max() for s in sums))) < 1 << 31 else "<i8").tobytes(), len(sums), None))
@@ -235,7 +242,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     side = max(1, math.ceil(math.sqrt(chars / PART_CHARS)))
     cells = texts.mapInArrow(partial(_counted, side=side), "cell int, u binary, v binary, c binary").repartition(side * side, "cell")
-    merge = partial(_merge_cell, folder=folder, side=side)
+    # A multiple of the side, so that a cell's words are in few of the parts, and enough for parts to stay small.
+    word_parts = side * math.ceil(side / 8)
+    merge = partial(_merge_cell, folder=folder, word_parts=word_parts)
     sums = written(cells.groupBy("cell").applyInArrow(lambda t: merge(t), "part int, kind int, w binary, sums binary, n_sums int, stats array<long>"), "sums")
     each = [r[0] for r in sums.where("kind = 2").select("stats").collect()]  # five numbers from each part
     n1, n2, n3, n4, _ = (sum(x) for x in zip(*each, strict=True)) if each else (0,) * 5
@@ -246,7 +255,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     tokens, n_words, types, m1, m2, m3, m4, more = (sum(x) for x in zip(*each, strict=True)) if each else (0,) * 8
     low = discounts_of(m1, m2, m3, m4)
     rest = (low[0] * m1 + low[1] * m2 + low[2] * more) / types if types else 1.0
-    return Model(folder, side, tokens, n_words, types, high, low, rest)
+    return Model(folder, side, word_parts, tokens, n_words, types, high, low, rest)
 
 
 def _by_part(queries: np.ndarray, part: np.ndarray, folder: str, name: str, fields: dict[str, str]) -> list[np.ndarray]:
@@ -275,9 +284,8 @@ def score_block(texts: list[str | None], m: Model) -> tuple[np.ndarray, ...]:
         words, of_v = np.unique(v, return_inverse=True)
         contexts, of_u = np.unique(u, return_inverse=True)
         pairs, first, of_pair = np.unique(_pair(u, v), return_index=True, return_inverse=True)
-        part = lambda w: ((w >> _U(40)) % _U(m.side)).astype(np.int64)
-        count, before = _by_part(words, part(words), m.path, "words", {"count": "i8", "before": "i8"})
-        total, rest = _by_part(contexts, part(contexts), m.path, "contexts", {"total": "i8", "rest": "f8"})
+        count, before = _by_part(words, _part(words, m.word_parts), m.path, "words", {"count": "i8", "before": "i8"})
+        total, rest = _by_part(contexts, _part(contexts, m.word_parts), m.path, "contexts", {"total": "i8", "rest": "f8"})
         (both,) = _by_part(pairs, _cell(u[first], v[first], m.side), m.path, "bigrams", {"count": "i8"})
     base = np.log10((count + 1) / (m.tokens + m.words + 1))[of_v]
     unigram = (_discount(before, m.unigram_discounts) / max(1, m.bigram_types) + m.unigram_rest / (m.words + 1))[of_v]
@@ -291,7 +299,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model):
     names = ["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for b, e in blocks([len(t or "") for t in texts], COUNT_CHARS):
+        for b, e in blocks([len(t or "") for t in texts], SCORE_CHARS):
             n, known, base, score = score_block(texts[b:e], model)
             rows = [batch.column(0).slice(b, e - b), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([model.tokens] * (e - b), pa.int64()), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(rows, names)
