@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import broadcast_if_small, written
 from .words import blocks, mix, seeds, word_hashes
 
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 BANDS, ROWS = 32, 5
 STAR_ROUNDS = 6
+#: Ids of documents are broadcast up to this many (some 20 MB) and joined by shuffle beyond, with the same result.
+BROADCAST_IDS = 500_000
 _U = np.uint64
 _NONE = np.iinfo(np.uint64).max
 
@@ -183,8 +185,8 @@ def near_duplicates(
     spread = usable.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     members = written(spread.join(full, "bucket"), "members")
-    near = members.select("node").distinct().join(reps, "node")
-    text_of = docs.join(near.select("node", F.col("first_id").alias("id")), "id").select("node", "text")
+    near = written(members.select("node").distinct().join(reps, "node").select("node", F.col("first_id").alias("id")), "near")
+    text_of = docs.join(broadcast_if_small(near, BROADCAST_IDS), "id").select("node", "text")
     sets = written(text_of.mapInArrow(partial(_with_sets, words=words), "node binary, grams array<long>").dropDuplicates(["node"]), "sets")
 
     labels = tested = None
@@ -232,5 +234,5 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents that are not their group's first; all columns and null ids stay."""
     found = near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = written(found.where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, BROADCAST_IDS), docs[id_col] == gone["__gone"], "left_anti")
