@@ -4,7 +4,8 @@ Base spans, leftmost and non-overlapping per kind: assign (a keyword, a separato
 characters), access (AKIA..., 20 or more) and hex (24 or more). The method adds `entropy` spans: candidate
 strings of 20 or more characters [A-Za-z0-9+/_=-] with a digit get the Shannon entropy of every window of
 20 characters from counts that change by one character in and one out; a window over its class's bound
-(hex or base64) makes the candidate a span, unless the allow-list knows its form or a base span has it.
+(hex, lower case or upper case with digits, mixed, base64) makes the candidate a span, unless the allow-list
+knows its form or a base span has it.
 
 Positions are code points, end exclusive. Null text is empty: no spans. Equal texts, equal spans; an empty
 table gives an empty result. No shuffle: every text is scanned where it is read.
@@ -27,11 +28,15 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Bits per character that the best window must reach, by character class.
-BOUNDS = {"hex": 3.2, "base64": 3.9}
-#: Forms that are no secrets: plain numbers, UUIDs, slugs and paths of lower-case words, words joined with numbers.
+#: Bits per character that the best window must reach, by character class: what 99 in 100 windows of uniformly random
+#: characters reach (hex 16, lower and upper with digits 32 as in base32, mixed 62, base64 64 characters).
+BOUNDS = {"hex": 2.9, "lower": 3.34, "upper": 3.34, "mixed": 3.64, "base64": 3.64}
+#: The first class whose form fits is a candidate's; what fits none is base64.
+CLASSES = {"hex": "^[0-9a-fA-F]+$", "lower": "^[0-9a-z]+=*$", "upper": "^[0-9A-Z]+=*$", "mixed": "^[0-9A-Za-z]+=*$"}
+#: Forms that are no secrets: plain numbers, UUIDs, slugs and paths of words and numbers, identifiers of capitalised words with a number.
 ALLOWED = (
-    r"^[0-9_=+/-]+$|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^/?[a-z]+(?:[-_/][a-z]+|[-_/][0-9]+)+/?$|(?i:example|placeholder|changeme|xxxx)"
+    r"^[0-9_=+/-]+$|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^/{0,2}(?:[A-Z]?[a-z]+|[0-9]+)(?:[-_/=]+(?:[A-Z]?[a-z]+|[0-9]+))+/?$"
+    r"|^[a-z]*(?:[A-Z][a-z]{2,})+[0-9]{1,4}$|(?i:example|placeholder|changeme|xxxx)"
 )
 MARK = "[SECRET]"
 
@@ -99,7 +104,7 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
 
 
 def _is_secret(s: Column) -> Column:
-    bound = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(BOUNDS["hex"])).otherwise(F.lit(BOUNDS["base64"]))
+    bound = F.coalesce(*[F.when(s.rlike(form), F.lit(BOUNDS[c])) for c, form in CLASSES.items()], F.lit(BOUNDS["base64"]))
     return ~s.rlike(ALLOWED) & (F.round(window_entropy(s), 9) >= bound)
 
 
