@@ -5,6 +5,7 @@ checksums verified, exact durations and frame offsets kept.
 Layer III frames (MPEG-1, mono, checksummed) whose data hold the payload; the last frame takes the least
 bitrate that fits, so the rate varies. `read` parses any stream: it finds the first header whose successor
 is a header too, walks from frame to frame, and searches anew, counting skipped bytes, where one is missing.
+An ID3v1 tag is one only where no frame holds its place: a payload may have its mark at 128 bytes before the end.
 
 Defined results: null media has null columns; empty or foreign bytes have no frames, duration 0 and all
 bytes skipped; equal bytes have equal results; other columns stay.
@@ -158,14 +159,19 @@ def parse(data: bytes) -> Audio:
     out = Audio()
     at, out.tags = _id3v2(data)
     end = len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").strip())
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     form = None  # what all headers of the stream being read agree in
     while at < end:
+        if at == tag:
+            out.tags.setdefault("TIT2", data[tag + 3 : tag + 33].split(b"\0")[0].decode("latin-1").strip())
+            break
         h = header(data[at : at + 4])
-        ahead = header(data[at + h.size : at + h.size + 4]) if h else None
-        if h and at + h.size <= end and (h.form == form or at + h.size == end or (ahead and ahead.form == h.form)):
+        after = at + h.size if h else at
+        ahead = header(data[after : after + 4]) if h else None
+        follows = bool(h and ahead and ahead.form == h.form)
+        # A frame may hold the tag's mark in its data: then it ends where the stream does or another follows.
+        fits = after <= tag or at > tag or after == end or follows
+        if h and after <= end and fits and (h.form == form or after in (tag, end) or follows):
             form = h.form
             if h.layer != 3 or out.frames or out.table or not _table(data, at, h, out):
                 out.frames.append((at, h))
@@ -176,9 +182,10 @@ def parse(data: bytes) -> Audio:
                     out.checked_right += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6])
             at += h.size
             continue
-        found = data.find(b"\xff", at + 1, end)
-        out.skipped += (found if found >= 0 else end) - at
-        at = found if found >= 0 else end
+        stop = tag if at < tag else end
+        found = data.find(b"\xff", at + 1, stop)
+        out.skipped += (found if found >= 0 else stop) - at
+        at = found if found >= 0 else stop
     return out
 
 

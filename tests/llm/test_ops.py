@@ -341,6 +341,23 @@ def test_mpeg_resynchronises_and_finds_errors():
     assert (layer2.layer, layer2.bitrate, layer2.rate, layer2.size) == (2, 192, 48000, 576)
 
 
+def test_mpeg_payload_may_hold_a_tags_mark():
+    for n in (64, 100, 127, 128, 500, 1127, 2000, 3000):
+        for pad in (n, n + -n % 64):
+            # At every place, so that one is 128 bytes before the stream's end in its last frame, or in the one before.
+            for at in range(max(0, pad - 300), n - 2):
+                payload = (b"s" * at + b"TAG" + b"e" * (n - at - 3)).ljust(pad, b"\0")
+                data = mpeg.store(payload)
+                a = mpeg.parse(data)
+                assert (mpeg.payload_of(data, a), a.skipped, a.table_frames, "TIT2" in a.tags) == (payload, 0, len(a.frames), False), (n, pad, at)
+    data = mpeg.store(bytes(1000))
+    title = b"TAG" + b"title".ljust(125, b"\0")
+    for stream in (data + title, data + b"junk" + title, data[:-40] + title):
+        a = mpeg.parse(stream)
+        assert a.tags["TIT2"] == "title" and all(at + h.size <= len(stream) - 128 for at, h in a.frames)
+    assert mpeg.payload_of(data + title, mpeg.parse(data + title)) == bytes(1000)
+
+
 # 7 sharding
 
 
