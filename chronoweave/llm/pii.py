@@ -4,7 +4,9 @@ Found in whole texts: payment cards (13 to 19 digits, Luhn), IBANs (mod 97), US
 international phone numbers, IPv4 addresses, calendar dates and e-mail addresses. A Feistel network with
 cycle walking permutes each value's domain (the numbers of that form, the days of 1900-2099), so a pseudonym
 is valid, keeps separators and length, and equal values get equal pseudonyms in every document: they stay
-linked, and nobody without the key can go back. Numbers that fail validation are left as they are.
+linked, and nobody without the key can go back. Numbers that fail validation are left as they are; what stands
+inside such a number is looked at again, with shorter ends and later starts. An IBAN ends by its country's length, a
+phone number by its country's digits or, where they vary, before a blank that follows a tighter separator.
 
 Where findings overlap, the earlier start wins, then the longer, then the order above. Null text stays null; a text
 without findings is unchanged; other columns stay. No shuffle.
@@ -176,6 +178,39 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
 
 
 _DIGIT = re.compile("[0-9]")
+_EDGE = re.compile(r"(?<=\w)(?!\w)")
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Digits after the country code, where all numbers of the country have as many.
+PHONE_DIGITS = {"1": 10, "7": 10, "30": 10, "31": 9, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "91": 10, "351": 9}
+
+
+def _ends(kind: str, text: str, m: re.Match) -> list[int]:
+    """Where the finding at the match's start may end, the likeliest first."""
+    pattern, start, end = FINDERS[kind][0], m.start(), m.end()
+    if kind not in ("iban", "phone"):
+        return [end]
+    edges = [x.start() for x in _EDGE.finditer(text, start + 1, end) if x.start() < end]
+    ends = [end, *(e for e in reversed(edges) if pattern.fullmatch(text, start, e))]
+    if kind == "iban":
+        n = IBAN_LENGTHS.get(text[start : start + 2])
+        return sorted(ends, key=lambda e: len(text[start:e].replace(" ", "")) != n)
+    code = re.match(r"\+([0-9]{1,3})(?=[^0-9])|\+([0-9])", m[0])
+    n = PHONE_DIGITS.get(code[1] or code[2])
+    body = start + code.end()
+    exact = [e for e in ends if len(_digits(text[body:e])) == n]
+    if exact:
+        return exact
+    tight = re.search(r"[.-][0-9]+(?= )|[0-9](?= [0-9]+[.-])", text[body:end])
+    return sorted(ends, key=lambda e: bool(tight) and e > body + tight.end())
 
 
 def findings(text: str, key: bytes = DEFAULT_KEY) -> list[tuple[int, int, str, str]]:
@@ -190,10 +225,16 @@ def findings(text: str, key: bytes = DEFAULT_KEY) -> list[tuple[int, int, str, s
                 continue
         elif not _DIGIT.search(text):
             continue
-        for m in pattern.finditer(text):
-            new = pseudonym(kind, m[0], key)
-            if new is not None:
-                found.append((m.start(), -m.end(), order, kind, new))
+        m = pattern.search(text)
+        while m:
+            at = m.start() + 1
+            for end in _ends(kind, text, m):
+                new = pseudonym(kind, text[m.start() : end], key)
+                if new is not None:
+                    found.append((m.start(), -end, order, kind, new))
+                    at = end
+                    break
+            m = pattern.search(text, at)
     out, at = [], 0
     for start, end, _, kind, new in sorted(found):
         if start >= at:

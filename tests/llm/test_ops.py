@@ -297,6 +297,20 @@ def test_every_card_of_a_row_of_numbers_is_found():
     assert not pii.findings("1234567890123456 41111111111111112 x4111111111111111 4111111111111111x")
 
 
+def test_values_next_to_other_tokens_are_found():
+    spaced, iban, card, phone = "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "4111 1111 1111 1111", "+1 (826) 555-4081"
+    cases = [
+        (f"{spaced} BIC CAIXESBB", [spaced]), (f"{iban} BIC", [iban]), (f"{iban} ABCD 12", [iban]), (f"AB12 {spaced} X", [spaced]), (f"BE68 5390 0754 7034 EUR and {spaced} EUR", ["BE68 5390 0754 7034", spaced]),
+        (f"order 2024 {card}", [card]), (f"2024 1234 {card} 55", [card]), (f"{phone} 190.137.223.4", [phone, "190.137.223.4"]), ("+1-202-555-0143 2024 11", ["+1-202-555-0143"]), (f"{phone} 2024-01-02", [phone, "2024-01-02"]),
+        ("+49 30-1234-5678 2024", ["+49 30-1234-5678"]), ("+48 123 456 789 2024", ["+48 123 456 789"]), ("+44 20 7946 0958", ["+44 20 7946 0958"]), ("+44 20 7946 0958 190.137.223.4", ["+44 20 7946 0958", "190.137.223.4"]),
+    ]
+    for text, values in cases:
+        assert [text[s:e] for s, e, _, _ in pii.findings(text)] == values, text
+    alone = pii.findings(phone)[0][3]
+    assert pii.findings(f"{phone} 190.137.223.4")[0][3] == alone and pii.findings(f"{spaced} BIC")[0][3] == pii.findings(spaced)[0][3]
+    assert not pii.findings("ES92 2100 0418 4502 0005 1332 BIC and 2024 4111 1111 1111 1112")
+
+
 def test_pseudonyms_are_one_to_one():
     dates = [pii._date(f"2020-01-{d:02d}", b"k") for d in range(1, 32)]
     assert len(set(dates)) == 31
