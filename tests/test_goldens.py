@@ -225,6 +225,22 @@ def test_paths(spark):
     assert [got[v, 2014] for v in range(1, 6)] == [{5: 1}, {6: 1}, {}, {}, {5: 0}]
 
 
+def test_paths_and_components_beyond_the_caps_of_their_sql(spark):
+    """A chain of 20 hops, and 45 snapshots with edges in all of them: no distance over 12 and no snapshot from 40 on is lost."""
+    n, years = 21, 45
+    chain = [(i, i, i + 1, 2000, 2000 + years, 1) for i in range(n - 1)]
+    extra = [(1000 + y, n, n + 1, 2000 + y, 2001 + y, y) for y in range(years)]
+    g = graph(spark, [(i, "x", 2000, 2000 + years) for i in range(n + 2)], [*chain, *extra])
+    assert g.sequence().count() == years
+    for directed in (True, False):
+        got = [(r.vid, r.t_start.year, r.t_end.year, r.distances) for r in shortest_paths(g, [n - 1], directed).collect()]
+        assert {(v, tuple(d.items())) for v, _, _, d in got if v < n} == {(v, ((n - 1, n - 1 - v),)) for v in range(n)}
+        assert all(sum(e - s for x, s, e, _ in got if x == v) == years for v in range(n))
+    found = [(r.vid, r.t_start.year, r.t_end.year, r.component) for r in connected_components(g).collect()]
+    assert {(v, c) for v, _, _, c in found} == {(v, 0) for v in range(n)} | {(n, n), (n + 1, n)}
+    assert all(sum(e - s for x, s, e, _ in found if x == v) == years for v in range(n + 2))
+
+
 @pytest.mark.parametrize("directed", [True, False])
 def test_pagerank(spark, directed):
     g = graph(spark, U8, [*E3, *E4A, *E4B])
