@@ -371,6 +371,32 @@ def interval_difference(spark, sf_dir):
     return N.interval_difference(b, a)
 
 
+# The same over two whole relations, the vertices and the edges of trade.
+
+_ALL = f"{O.TRADE}, s AS ({O.seq('v', 'e')})"
+
+
+def _relations(spark, sf_dir):
+    g = trade(spark, sf_dir)
+    return g.vertices, g.edges
+
+
+@query(f"WITH {_ALL} SELECT t_start, t_end FROM s")
+def interval_union_all(spark, sf_dir):
+    return N.interval_union(*_relations(spark, sf_dir))
+
+
+@query(f"WITH {_ALL} SELECT t_start, t_end FROM s WHERE t_start >= (SELECT greatest((SELECT min(t_start) FROM v), (SELECT min(t_start) FROM e))) AND t_end <= (SELECT least((SELECT max(t_end) FROM v), (SELECT max(t_end) FROM e)))")
+def interval_intersect_all(spark, sf_dir):
+    return N.interval_intersect(*_relations(spark, sf_dir))
+
+
+@query(f"WITH {_ALL} SELECT t_start, t_end FROM s WHERE t_start >= (SELECT min(t_start) FROM e) AND t_end <= (SELECT max(t_end) FROM e)")
+def interval_difference_all(spark, sf_dir):
+    a, b = _relations(spark, sf_dir)
+    return N.interval_difference(b, a)
+
+
 # Analytics
 
 
