@@ -1,18 +1,26 @@
-"""Interpolated modified Kneser-Ney bigrams: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
-
-A token is a word (A-Z lowered) or the end of a text, known by a 64-bit hash. Counting is block-wise: a task
-counts the distinct bigrams of some 14 million characters, and deals them to a grid of parts by the hashes of
-both words, so that a word with a third of all bigrams is spread over a row of the grid. Each part merges its
-blocks, writes its bigrams as a sorted hash array with counts, and passes on per-word sums; those are merged
-by word hash into the words files. Discounts come from counts of counts (a few numbers from each part).
-
-    p(w|u) = (c(uw) - D(c(uw))) / c(u) + l(u) p(w),   p(w) = (n(w) - D'(n(w))) / n + l' / (V + 1)
-
-n(w) counts the distinct words before w. The files lie in the shared folder, which workers must see as a
-file system (file://, a network mount): they are mapped, not read, and the page cache holds what is used.
-
-Defined results: null and empty texts are one end token; without training rows every token is unknown and
-p is 1; equal texts have equal scores; repeated rows count as often as they stand. Other columns stay.
+"""Interpolated modified Kneser-Ney n-grams (trigrams, or bigrams): counted in Spark, kept as sorted hash arrays,
+memory-mapped by workers.
+
+A token is a word (A-Z lowered) or the end of a text. Words first get numbers: their 64-bit hashes lie sorted in
+the words files, and a number is a place there, so that n-grams pack well. Then every task counts the n-grams
+(u, v, w) of some 2 million tokens at a time and deals them to parts by the middle word v: all that belongs to the
+context (u, v) and to the pair (v, w) meets in one part. A middle word with more tokens than an eighth of a part
+has a grid of cells, by u and by w, over the parts; what its cells know of a pair is summed in a second
+aggregation, and what all know of a word in a third. Bigrams are n-grams with the empty middle, the same for all.
+
+    p(w|uv) = (c(uvw) - D3) / c(uv) + l(uv) p(w|v)
+    p(w|v)  = (n(vw) - D2) / n(v)   + l(v) p(w)        n(vw): distinct words before vw
+    p(w)    = (n(w) - D1) / pairs   + l / (V + 1)      n(w): distinct words before w
+
+Before a text stand as many begin marks as a context has words. Of an n-gram's hash a file keeps 32 bits in
+buckets of some 4 (about 50 bits for a file of a million, so a false hit in 10^9); contexts seen once need no
+entry: a context is known if it is a known pair. The files lie in the shared folder, which workers must see as a
+file system (file://, a network mount): they are mapped, and the page cache holds what is used. Every part
+writes its files even if they are empty: a missing one is an error, never a count of 0.
+
+Defined results: null and empty texts are one end token; without training rows every token is unknown and p is
+1; equal texts have equal scores; repeated rows count as often as they stand; a very long text is counted and
+hashed in slices. Other columns stay.
 """
 
 from __future__ import annotations
@@ -34,28 +42,35 @@ from pyspark.sql import functions as F
 from .shared import fresh_path, written
 from .words import blocks, mix, word_hashes
 
-#: Characters whose bigrams a task counts at a time, scores at a time, and hashes at a time.
-COUNT_CHARS, SCORE_CHARS, HASH_CHARS = 14 << 20, 8 << 20, 4 << 20
-#: Characters of text for each part of the grid.
-PART_CHARS = 12 << 20
+#: Characters of text that a task counts at a time, scores at a time, and hashes at a time.
+COUNT_CHARS, SCORE_CHARS, HASH_CHARS = 12 << 20, 6 << 20, 4 << 20
+#: Tokens whose n-grams are sorted at a time: their words, numbered within the slice, take 21 bits.
+SLICE = (1 << 21) - 8
+#: Characters of text for each part of the n-grams, and of the words. Larger parts need larger executors.
+PART_CHARS, WORDS_CHARS = 16 << 20, 128 << 20
 _U = np.uint64
-END, BEGIN = _U(0x51ED270B0A1F39C3), _U(0x2545F4914F6CDD1D)
-_PAIR = _U(0x9FB21C651E98DF25)
+END, BEGIN, EMPTY = _U(0x51ED270B0A1F39C3), _U(0x2545F4914F6CDD1D), _U(0)
+_A, _B = _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
+#: Places in a words file, and the number that stands for all unknown words.
+_PLACE = _U(26)
+UNKNOWN = _U((1 << 62) - 1)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, the grid's side, and the numbers that hold for all of them."""
+    """Where the files are, how they are dealt, and the numbers that hold for all of them."""
 
     path: str
-    side: int
+    order: int
+    parts: int
     word_parts: int
-    tokens: int
-    words: int
-    bigram_types: int
-    bigram_discounts: tuple[float, float, float]
-    unigram_discounts: tuple[float, float, float]
-    unigram_rest: float
+    most: int  # a middle word with more tokens is dealt as a grid
+    tokens: int = 0
+    words: int = 0
+    pairs: int = 0
+    pair_sums: tuple[int, int, int, int] = (0, 0, 0, 0)  # of the empty middle: n, and how many pairs have n = 1, 2, 3 or more
+    discounts: tuple[tuple[float, float, float], ...] = ((0.0, 0.0, 0.0),) * 3  # of n-grams, pairs and words
+    rest: float = 1.0
 
 
 def _local(path: str) -> str:
@@ -65,6 +80,15 @@ def _local(path: str) -> str:
     return unquote(url.path) if url.scheme else path
 
 
+# Arrays in files and in rows
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The array in the least unsigned type that holds it."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(k[2])))
+
+
 def _store(folder: str, name: str, **arrays: np.ndarray) -> None:
     """Writes arrays one after another, after a line that tells their types and lengths; a retry replaces the file whole."""
     os.makedirs(folder, exist_ok=True)
@@ -91,137 +115,366 @@ def _mapped(file: str) -> dict[str, np.ndarray]:
     return out
 
 
-def _find(keys: np.ndarray, sorted_queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the queries in a sorted array, and which are there."""
-    if not len(keys):
-        return np.zeros(len(sorted_queries), np.int64), np.zeros(len(sorted_queries), bool)
-    at = np.minimum(np.searchsorted(keys, sorted_queries), len(keys) - 1)
-    return at, keys[at] == sorted_queries
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, narrowed, each as planes of bytes, compressed, after a line of widths and sizes."""
+    head, body = [len(arrays[0])], []
+    for a in map(_narrow, arrays):
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+        body.append(pa.compress(planes, codec="zstd", asbytes=True))
+        head += [a.itemsize, len(body[-1])]
+    return b"".join([" ".join(map(str, head)).encode(), b"\n", *body])
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    """What `_packed` packed, as 64-bit numbers."""
+    at = data.index(b"\n")
+    n, *sizes = map(int, data[:at].split())
+    at, out = at + 1, []
+    for width, size in zip(sizes[::2], sizes[1::2], strict=True):
+        planes = pa.decompress(data[at : at + size], decompressed_size=n * width, codec="zstd", asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel().astype(_U))
+        at += size
+    return out
+
+
+def _together(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    """The k arrays of all rows of a column, one after another."""
+    rows = [_unpacked(x.as_py()) for x in column if x.is_valid]
+    return [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, _U) for i in range(k)]
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _ordered(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then the second, and so on; two that fit into 64 bits are sorted as one."""
+    if len(keys) > 1 and all(len(k) and int(k.max()) < 1 << 32 for k in keys[:2]):
+        keys = (keys[0] << _U(32) | keys[1], *keys[2:])
+    return np.lexsort(keys[::-1])
+
+
+def _add(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, at) if len(at) else values[:0]
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part, and the places that belong to it, in their order."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and int(part.max()) < 1 << 16 else part, kind="stable")
+    cuts = [*_runs(part[order]).tolist(), len(order)]
+    for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(part[order[b]]), order[b:e]
+
+
+# Hash arrays: the top bits of a key are its bucket, the 32 bits after them are kept, in order.
+
+
+def _heads(key: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order of the keys, and the arrays that find them."""
+    order = np.argsort(key)
+    key = key[order]
+    bits = max(1, (len(key) // 4).bit_length())
+    heads = np.searchsorted(key >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U))
+    return order, {"heads": _narrow(heads), "rest": ((key << _U(bits)) >> _U(32)).astype("<u4")}
+
+
+def _found(arrays: dict[str, np.ndarray], name: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys, and which are there."""
+    heads, kept = arrays[f"{name}heads"], arrays[f"{name}rest"]
+    bits = (len(heads) - 1).bit_length() - 1
+    bucket, rest = (key >> _U(64 - bits)).astype(np.int64), ((key << _U(bits)) >> _U(32)).astype(np.uint32)
+    lo, end = heads[bucket].astype(np.int64), heads[bucket + 1].astype(np.int64)
+    hi = end.copy()
+    if not len(kept):
+        return lo, np.zeros(len(key), bool)
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        less = kept[np.minimum(mid, len(kept) - 1)] < rest
+        lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+    return lo, (lo < end) & (kept[np.minimum(lo, len(kept) - 1)] == rest)
+
+
+def _counts(key: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of counts by key; of those that are 1 the keys alone."""
+    more = count > 1
+    order, found = _heads(key[more])
+    one, single = _heads(key[~more])
+    return {**{f"m{k}": a for k, a in found.items()}, "count": _narrow(count[more][order]), **{f"s{k}": a for k, a in single.items()}}
+
+
+def _count_of(arrays: dict[str, np.ndarray], key: np.ndarray) -> np.ndarray:
+    at, there = _found(arrays, "m", key)
+    out = _found(arrays, "s", key)[1].astype(np.int64)
+    out[there] = arrays["count"][at[there]]
+    return out
+
+
+# How words and n-grams are dealt
+
+
+def _of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; ascending hashes have ascending parts."""
+    return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a * _A + _A) + b * _B)
 
-def _cell(u: np.ndarray, v: np.ndarray, side: int) -> np.ndarray:
-    return ((u >> _U(40)) % _U(side) * _U(side) + (v >> _U(40)) % _U(side)).astype(np.int64)
 
+def _triple(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(_pair(u, v) + w * _A)
 
-def _part(w: np.ndarray, parts: int) -> np.ndarray:
-    return ((w >> _U(40)) % _U(parts)).astype(np.int64)
+
+def _side(count: np.ndarray, most: int) -> np.ndarray:
+    """The side of the grid of a middle word with so many tokens."""
+    return np.ceil(np.sqrt(np.maximum(1.0, count / most))).astype(_U)
+
+
+def _cell(u: np.ndarray, v: np.ndarray, w: np.ndarray, side: np.ndarray, parts: int) -> np.ndarray:
+    return _of(_triple(u % side, v, w % side), parts)
+
+
+def _home(v: np.ndarray, parts: int) -> np.ndarray:
+    """The one cell of a middle word without a grid."""
+    return _of(_triple(np.zeros_like(v), v, np.zeros_like(v)), parts)
+
+
+def _words(hashes: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of ascending hashes; an unknown word has the count 0."""
+    number, count = np.full(len(hashes), UNKNOWN), np.zeros(len(hashes), np.int64)
+    for p, here in _by_part(_of(hashes, m.word_parts)):
+        arrays = _mapped(f"{m.path}/words-{p}")
+        if len(arrays["key"]):
+            at = np.minimum(np.searchsorted(arrays["key"], hashes[here]), len(arrays["key"]) - 1)
+            there = arrays["key"][at] == hashes[here]
+            number[here[there]] = (_U(p) << _PLACE | at[there].astype(_U)) + _U(1)
+            count[here[there]] = arrays["count"][at[there]]
+    empty = hashes == EMPTY
+    number[empty], count[empty] = 0, m.tokens
+    return number, count
+
+
+def _of_numbers(numbers: np.ndarray, m: Model, name: str, fields: tuple[str, ...]) -> list[np.ndarray]:
+    """Fields of known words by their numbers; 0 for others."""
+    out = [np.zeros(len(numbers), np.int64) for _ in fields]
+    known = np.flatnonzero((numbers != UNKNOWN) & (numbers > 0))
+    place = numbers[known] - _U(1)
+    for p, here in _by_part((place >> _PLACE).astype(np.int64)):
+        arrays = _mapped(f"{m.path}/{name}-{p}")
+        at = (place[here] & _U((1 << int(_PLACE)) - 1)).astype(np.int64)
+        for values, field in zip(out, fields, strict=True):
+            values[known[here]] = arrays[field][at]
+    return out
 
 
-def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix(u * _PAIR + v)
+def _sides_of(v: np.ndarray, m: Model) -> np.ndarray:
+    (count,) = _of_numbers(v, m, "words", ("count",))
+    return _side(np.where(v == 0, m.tokens, count), m.most)
 
 
-def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens (words and ends), what stands before each, and len(texts) + 1 offsets."""
+# Tokens
+
+
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens (words and ends), and len(texts) + 1 offsets."""
     parts, counts = [], []
     for b, e in blocks([len(t or "") for t in texts], HASH_CHARS):
         h, at = word_hashes(texts[b:e])
         parts.append(np.insert(h, at[1:], END))
         counts.append(np.diff(at) + 1)
     tokens = np.concatenate(parts) if parts else np.zeros(0, _U)
-    offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))))
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[offsets[:-1]] = BEGIN
-    return tokens, before, offsets
-
-
-def _groups(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where each run of equal keys begins."""
-    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
-
-
-def _counted(batches: Iterator[pa.RecordBatch], side: int):
-    """Distinct bigrams of each block of texts, with counts, by cell of the grid."""
-
-    def cells(texts: list[str | None]):
-        with np.errstate(over="ignore"):
-            v, u, _ = _tokens(texts)
-            order = np.argsort(_pair(u, v))
-            u, v = u[order], v[order]
-            at = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))) if len(u) else np.zeros(0, np.int64)
-            c = np.diff(np.concatenate((at, [len(u)]))).astype(np.uint32)
-            u, v = u[at], v[at]
-            cell = _cell(u, v, side)
-            order = np.lexsort((v, u, cell))
-        u, v, c, cell = u[order], v[order], c[order], cell[order]
-        cuts = np.concatenate((_groups(cell), [len(cell)]))
-        for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-            row = [[int(cell[b])], [u[b:e].tobytes()], [v[b:e].tobytes()], [c[b:e].tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *[pa.array(x, pa.binary()) for x in row[1:]]], ["cell", "u", "v", "c"])
-
-    held, size = [], 0
+    return tokens, np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))))
+
+
+def _slices(tokens: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some tokens at a time: the ascending distinct hashes, and the places there of u, v and w."""
+    first = np.zeros(len(tokens), bool)
+    first[offsets[:-1]] = True
+    second = np.zeros(len(tokens), bool)
+    second[1:] = first[:-1]
+    for b in range(0, len(tokens), SLICE):
+        e = min(b + SLICE, len(tokens))
+        before = np.concatenate((np.full(2, BEGIN), tokens[max(0, b - 2) : b]))[-2:]
+        distinct, at = np.unique(np.concatenate((before, tokens[b:e], [BEGIN, EMPTY])), return_inverse=True)
+        w, v, u = at[2:-2], at[1:-3].copy(), at[:-4].copy()
+        v[first[b:e]] = at[-2]
+        if order == 2:
+            u, v = v, np.full(len(w), at[-1])
+        else:
+            u[first[b:e] | second[b:e]] = at[-2]
+        yield distinct, u, v, w
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of some texts at a time."""
+    texts, size = [], 0
     for batch in batches:
         for t in batch.column(0).to_pylist():
-            held.append(t)
+            texts.append(t)
             size += len(t or "")
             if size >= COUNT_CHARS:
-                yield from cells(held)
-                held, size = [], 0
-    if held:
-        yield from cells(held)
+                yield _tokens(texts)
+                texts, size = [], 0
+    if texts:
+        yield _tokens(texts)
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros(0, kind)
+def _row(part: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
 
 
-def _merge_cell(table: pa.Table, folder: str, word_parts: int) -> pa.Table:
-    """One part of the grid: writes its bigrams, and returns sums per word dealt by word hash, and counts of counts."""
-    cell = table.column("cell")[0].as_py()
-    u, v, c = _joined(table.column("u"), "<u8"), _joined(table.column("v"), "<u8"), _joined(table.column("c"), "<u4").astype(np.int64)
-    with np.errstate(over="ignore"):
-        key = _pair(u, v)
+# The four steps of training
+
+
+def _worded(batches: Iterator[pa.RecordBatch], m: Model):
+    """Words and begins of each block with their counts, by part of the words."""
+    for tokens, offsets in _held(batches):
+        key, count = np.unique(np.concatenate((tokens, np.full(len(offsets) - 1, BEGIN))), return_counts=True)
+        for p, here in _by_part(_of(key, m.word_parts)):
+            yield _row(p, _packed(key[here], count[here]))
+
+
+def _merge_words(table: pa.Table, m: Model) -> pa.Table:
+    """One part of the words: writes hashes and counts; how many tokens and words there are, begins aside."""
+    part = table.column("part")[0].as_py()
+    key, count = _together(table.column("data"), 2)
     order = np.argsort(key)
-    key, u, v, c = key[order], u[order], v[order], c[order]
-    at = _groups(key)
-    c, key, u, v = np.add.reduceat(c, at), key[at], u[at], v[at]
-    _store(folder, f"bigrams-{cell}", key=key, count=c.astype(np.uint32))
-    of_counts = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-    order = np.argsort(u)
-    su, sc = u[order], c[order]
-    at = _groups(su)
-    first = [su[at], np.add.reduceat(sc, at), *[np.add.reduceat(hit.astype(np.int64), at) for hit in (sc == 1, sc == 2, sc >= 3)]]
-    order = np.argsort(v)
-    sv, sc = v[order], c[order]
-    at = _groups(sv)
-    second = [sv[at], np.add.reduceat(sc, at), np.diff(np.concatenate((at, [len(sv)])))]
+    key, count = key[order], count[order].astype(np.int64)
+    at = _runs(key)
+    key, count = key[at], _add(count, at)
+    if len(key) >= 1 << int(_PLACE):
+        raise ValueError("too many words in a part: lower WORDS_CHARS")
+    _store(m.path, f"words-{part}", key=key, count=_narrow(count))
+    real = key != BEGIN
+    return _stats([int(count[real].sum()), int(real.sum())])
+
+
+def _stats(numbers: list[int], rows: list[tuple[int, int, bytes | None, bytes | None]] = ()) -> pa.Table:
+    """A row with numbers (kind 0) and rows (kind, part, a, b) for the next steps."""
+    rows = [(0, 0, None, None, numbers), *((*r, None) for r in rows)]
+    kinds = {"kind": pa.int32(), "part": pa.int32(), "a": pa.binary(), "b": pa.binary(), "stats": pa.list_(pa.int64())}
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
+_STATS = "kind int, part int, a binary, b binary, stats array<long>"
+
+
+def _counted(batches: Iterator[pa.RecordBatch], m: Model):
+    """Distinct n-grams of each slice with counts, by part."""
+    twenty_one = _U(21)
+    for tokens, offsets in _held(batches):
+        for distinct, u, v, w in _slices(tokens, offsets, m.order):
+            key = np.sort(v.astype(_U) << _U(42) | u.astype(_U) << twenty_one | w.astype(_U))
+            at = _runs(key)
+            count, key = np.diff(np.concatenate((at, [len(key)]))), key[at]
+            number, often = _words(distinct, m)
+            v, u, w = (key >> _U(42)).astype(np.int64), (key >> twenty_one & _U(0x1FFFFF)).astype(np.int64), (key & _U(0x1FFFFF)).astype(np.int64)
+            side = _side(often, m.most)[v]
+            v, u, w = number[v], number[u], number[w]
+            with np.errstate(over="ignore"):
+                part = _cell(u, v, w, side, m.parts)
+            for p, here in _by_part(part):
+                yield _row(p, _packed(v[here], u[here], w[here], count[here]))
+
+
+def _of_counts(count: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return [int((count == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _three(count: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For every run the sum of the counts, and how many are 1, 2, and 3 or more."""
+    return [_add(count, at), *[_add(hit.astype(np.int64), at) for hit in (count == 1, count == 2, count >= 3)]]
+
+
+def _store_contexts(name: str, u: np.ndarray, v: np.ndarray, sums: list[np.ndarray], m: Model, begin: np.ndarray) -> None:
+    """Contexts seen more than once, and all that begin a text."""
+    keep = (sums[0] > 1) | np.isin(u, begin)
+    order, found = _heads(_pair(u[keep], v[keep]))
+    _store(m.path, name, **{f"m{k}": a for k, a in found.items()}, **{f"n{i}": _narrow(s[keep][order]) for i, s in enumerate(sums)})
+
+
+def _of_words(v: np.ndarray, w: np.ndarray, n: np.ndarray, m: Model) -> list[tuple[int, int, bytes | None, bytes | None]]:
+    """What whole pairs in the order (v, w) tell of their words: sums over w for every v, and pairs for every w."""
+    if m.order == 2:
+        return []
+    at = _runs(v)
+    first, sums = v[at], _three(n, at)
+    second, pairs = np.unique(w, return_counts=True)
+    a = {p: _packed(first[i], *[s[i] for s in sums]) for p, i in _by_part(((first - _U(1)) >> _PLACE).astype(np.int64))}
+    b = {p: _packed(second[i], pairs[i]) for p, i in _by_part(((second - _U(1)) >> _PLACE).astype(np.int64))}
+    return [(2, p, a.get(p), b.get(p)) for p in sorted(a.keys() | b.keys())]
+
+
+def _pair_stats(n: np.ndarray) -> list[int]:
+    return [*_of_counts(n), int((n >= 3).sum()), int(n.sum()), len(n)]
+
+
+def _merge_part(table: pa.Table, m: Model) -> pa.Table:
+    """One part of the n-grams: writes them and what is whole; passes on the rest, by pair (kind 1) and by word (kind 2)."""
+    part = table.column("part")[0].as_py()
+    v, u, w, count = _together(table.column("data"), 4)
+    order = _ordered(v, u, w)
+    v, u, w, count = v[order], u[order], w[order], count[order].astype(np.int64)
+    at = _runs(v, u, w)
+    v, u, w, count = v[at], u[at], w[at], _add(count, at)
     rows = []
-    for kind, (w, *sums) in enumerate((first, second)):
-        part = _part(w, word_parts)
-        for q in np.unique(part).tolist():
-            here = part == q
-            rows.append((q, kind, w[here].tobytes(), np.stack([s[here] for s in sums]).astype("<i4" if max(map(int, (s.max() for s in sums))) < 1 << 31 else "<i8").tobytes(), len(sums), None))
-    rows.append((-1 - cell, 2, b"", b"", 0, [*of_counts, len(key)]))
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64())))], ["part", "kind", "w", "sums", "n_sums", "stats"])
-
-
-def _summed(table: pa.Table, kind: int, n_sums: int) -> list[np.ndarray]:
-    """Distinct words of the rows of a kind, and the sums of their numbers."""
-    words, sums = [np.zeros(0, "<u8")], [np.zeros((n_sums, 0), np.int64)]
-    for k, w, s in zip(table.column("kind").to_pylist(), table.column("w"), table.column("sums"), strict=True):
-        if k == kind:
-            w = np.frombuffer(w.as_buffer(), "<u8")
-            s = np.frombuffer(s.as_buffer(), np.uint8)
-            words.append(w)
-            sums.append(s.view("<i4" if len(s) == 4 * n_sums * len(w) else "<i8").reshape(n_sums, len(w)).astype(np.int64))
-    w, s = np.concatenate(words), np.concatenate(sums, axis=1)
-    order = np.argsort(w)
-    w, s = w[order], s[:, order]
-    at = _groups(w)
-    return [w[at], *(np.add.reduceat(x, at) if len(at) else x for x in s)]
-
-
-def _merge_words(table: pa.Table, folder: str, discounts: tuple[float, float, float]) -> pa.Table:
-    """One part of the words: writes counts, continuation counts, context totals and back-off weights."""
+    with np.errstate(over="ignore"):
+        _store(m.path, f"grams-{part}", **_counts(_triple(u, v, w), count))
+        at = _runs(v, u)
+        cv, cu, sums = v[at], u[at], _three(count, at)
+        order = _ordered(v, w)
+        pv, pw = v[order], w[order]
+        at = _runs(pv, pw)
+        pv, pw, n = pv[at], pw[at], np.diff(np.concatenate((at, [len(pv)])))
+        whole, whole_context = _sides_of(pv, m) == 1, _sides_of(cv, m) == 1
+        begin = _words(np.array([BEGIN]), m)[0]
+        _store_contexts(f"contexts-{part}", cu[whole_context], cv[whole_context], [s[whole_context] for s in sums], m, begin)
+        _store(m.path, f"pairs-{part}", **_counts(_pair(pv[whole], pw[whole]), n[whole]))
+        rows += _of_words(pv[whole], pw[whole], n[whole], m)
+        cu, cv, sums = cu[~whole_context], cv[~whole_context], [s[~whole_context] for s in sums]
+        a = {p: _packed(cu[i], cv[i], *[s[i] for s in sums]) for p, i in _by_part(_of(_pair(cu, cv), m.parts))}
+        hv, hw, hn = pv[~whole], pw[~whole], n[~whole]
+        b = {p: _packed(hv[i], hw[i], hn[i]) for p, i in _by_part(_of(_pair(hv, hw), m.parts))}
+    rows += [(1, p, a.get(p), b.get(p)) for p in sorted(a.keys() | b.keys())]
+    return _stats([*_of_counts(count), *_pair_stats(n[whole])], rows)
+
+
+def _merge_pairs(table: pa.Table, m: Model) -> pa.Table:
+    """One part of the pairs whose middle words have grids: sums, and writes them; passes on what they tell of words."""
     part = table.column("part")[0].as_py()
-    u, total, n1, n2, n3 = _summed(table, 0, 4)
-    v, count, before = _summed(table, 1, 2)
-    rest = (discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3) / np.maximum(total, 1)
-    _store(folder, f"contexts-{part}", key=u, total=total, rest=rest)
-    _store(folder, f"words-{part}", key=v, count=count, before=before)
-    stats = [int(count.sum()), len(v), int(before.sum()), *[int((before == k).sum()) for k in (1, 2, 3, 4)], int((before >= 3).sum())]
-    return pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([stats], pa.list_(pa.int64()))], ["part", "stats"])
+    u, v, *sums = _together(table.column("a"), 6)
+    order = _ordered(u, v)
+    u, v, sums = u[order], v[order], [s[order].astype(np.int64) for s in sums]
+    at = _runs(u, v)
+    begin = _words(np.array([BEGIN]), m)[0]
+    with np.errstate(over="ignore"):
+        _store_contexts(f"grid-contexts-{part}", u[at], v[at], [_add(s, at) for s in sums], m, begin)
+        v, w, n = _together(table.column("b"), 3)
+        order = _ordered(v, w)
+        v, w, n = v[order], w[order], n[order].astype(np.int64)
+        at = _runs(v, w)
+        v, w, n = v[at], w[at], _add(n, at)
+        _store(m.path, f"grid-pairs-{part}", **_counts(_pair(v, w), n))
+    return _stats([0, 0, 0, 0, *_pair_stats(n)], _of_words(v, w, n, m))
+
+
+def _merge_levels(table: pa.Table, m: Model) -> pa.Table:
+    """One part of the words: writes, in their order, the words before each and the sums over pairs that begin with it."""
+    part = table.column("part")[0].as_py()
+    size = len(_mapped(f"{m.path}/words-{part}")["key"])
+    place = lambda number: ((number - _U(1)) & _U((1 << int(_PLACE)) - 1)).astype(np.int64)
+    v, *sums = _together(table.column("a"), 5)
+    w, pairs = _together(table.column("b"), 2)
+    n = np.bincount(place(w), pairs, size).astype(np.int64) if len(w) else np.zeros(size, np.int64)
+    each = [np.bincount(place(v), s, size).astype(np.int64) if len(v) else np.zeros(size, np.int64) for s in sums]
+    _store(m.path, f"levels-{part}", before=_narrow(n), **{f"n{i}": _narrow(s) for i, s in enumerate(each)})
+    return _stats([*_of_counts(n), int((n >= 3).sum())])
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -233,66 +486,126 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(k - 0.05, max(0.05, x)) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts all texts of docs and writes the model's arrays to the shared folder."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "bigrams")
-    folder = _local(path)
+def _by_group(rows: DataFrame, parts: int, step, name: str) -> DataFrame:
+    """The step over each part's rows, as a written table; a part without rows is stepped through too."""
+    spark = rows.sparkSession
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "part"]
+    whole = rows.unionByName(spark.range(parts).select(F.col("id").cast("int").alias("part"), *none))
+    return written(whole.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: step(t), _STATS), name)
+
+
+def _sum(rows: DataFrame, n: int) -> list[int]:
+    """The sums of the numbers of all parts, added up in the cluster."""
+    got = rows.where("kind = 0").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(n)]).first()
+    return [x or 0 for x in got]
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
+    """Counts all texts of docs and writes the model's files to the shared folder. The order is 3 or 2."""
+    if order not in (2, 3):
+        raise ValueError(f"the order is 2 or 3, not {order}")
+    path = fresh_path(docs.sparkSession, "ngrams")
     texts = docs.select(docs[f"`{text_col}`"].cast("string").alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    side = max(1, math.ceil(math.sqrt(chars / PART_CHARS)))
-    cells = texts.mapInArrow(partial(_counted, side=side), "cell int, u binary, v binary, c binary").repartition(side * side, "cell")
-    # A multiple of the side, so that a cell's words are in few of the parts, and enough for parts to stay small.
-    word_parts = side * math.ceil(side / 8)
-    merge = partial(_merge_cell, folder=folder, word_parts=word_parts)
-    sums = written(cells.groupBy("cell").applyInArrow(lambda t: merge(t), "part int, kind int, w binary, sums binary, n_sums int, stats array<long>"), "sums")
-    each = [r[0] for r in sums.where("kind = 2").select("stats").collect()]  # five numbers from each part
-    n1, n2, n3, n4, _ = (sum(x) for x in zip(*each, strict=True)) if each else (0,) * 5
-    high = discounts_of(n1, n2, n3, n4)
-    words = partial(_merge_words, folder=folder, discounts=high)
-    got = written(sums.where("kind < 2").groupBy("part").applyInArrow(lambda t: words(t), "part int, stats array<long>"), "words")
-    each = [r[0] for r in got.select("stats").collect()]  # eight numbers from each part
-    tokens, n_words, types, m1, m2, m3, m4, more = (sum(x) for x in zip(*each, strict=True)) if each else (0,) * 8
-    low = discounts_of(m1, m2, m3, m4)
-    rest = (low[0] * m1 + low[1] * m2 + low[2] * more) / types if types else 1.0
-    return Model(folder, side, word_parts, tokens, n_words, types, high, low, rest)
-
-
-def _by_part(queries: np.ndarray, part: np.ndarray, folder: str, name: str, fields: dict[str, str]) -> list[np.ndarray]:
-    """The fields of each query in its part's file; 0 where it is not there."""
-    out = [np.zeros(len(queries), k) for k in fields.values()]
-    order = np.lexsort((queries, part))
-    cuts = np.concatenate((_groups(part[order]), [len(order)]))
-    for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-        file = f"{folder}/{name}-{part[order[b]]}"
-        if os.path.exists(file):
-            arrays, mine = _mapped(file), order[b:e]
-            at, there = _find(arrays["key"], queries[mine])
-            for values, field in zip(out, fields, strict=True):
-                values[mine[there]] = arrays[field][at[there]]
-    return out
+    parts, word_parts = (max(1, math.ceil(chars / most)) for most in (PART_CHARS, WORDS_CHARS))
+    m = Model(_local(path), order, parts, word_parts, 1)
+    words = texts.mapInArrow(partial(_worded, m=m), "part int, data binary")
+    tokens, n_words = _sum(_by_group(words, word_parts, partial(_merge_words, m=m), "words"), 2)
+    m = Model(_local(path), order, parts, word_parts, max(1, tokens // (8 * parts)), tokens, n_words)
+    grams = texts.mapInArrow(partial(_counted, m=m), "part int, data binary")
+    sums = _by_group(grams, parts, partial(_merge_part, m=m), "sums")
+    pairs = _by_group(sums.where("kind = 1").select("part", "a", "b"), parts, partial(_merge_pairs, m=m), "pair-sums")
+    rows = sums.where("kind = 2").select("part", "a", "b").unionByName(pairs.where("kind = 2").select("part", "a", "b"))
+    levels = _by_group(rows, word_parts, partial(_merge_levels, m=m), "levels")
+    one, two, three = _sum(sums, 11), _sum(pairs, 11), _sum(levels, 5)
+    of_pairs = [a + b for a, b in zip(one[4:], two[4:], strict=True)]
+    d = discounts_of(*one[:4]), discounts_of(*of_pairs[:4]), discounts_of(*three[:4])
+    n1, n2, _, _, more = three
+    n_pairs = of_pairs[6]
+    rest = (d[2][0] * n1 + d[2][1] * n2 + d[2][2] * more) / n_pairs if n_pairs and order > 2 else 1.0
+    return Model(m.path, order, parts, word_parts, m.most, tokens, n_words, n_pairs, (of_pairs[5], of_pairs[0], of_pairs[1], of_pairs[4]), d, rest)
+
+
+# Scoring
+
+
+def _look_up(m: Model, names: tuple[str, str], places: np.ndarray, grid: np.ndarray, home: np.ndarray, cell: np.ndarray, find) -> None:
+    """Calls find(arrays, places) for every file that some of the places belong to: a middle word's own part, or a grid's."""
+    for on, name, part in ((~grid, names[0], home), (grid, names[1], cell)):
+        some = places[on[places]]
+        for p, here in _by_part(part[some]):
+            find(_mapped(f"{m.path}/{name}-{p}"), some[here])
 
 
 def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
 
+def _weight(total: np.ndarray, n: list[np.ndarray], d: tuple[float, float, float]) -> np.ndarray:
+    """What a context leaves to the lower order; 1 for one that is not known."""
+    return np.where(total > 0, (d[0] * n[0] + d[1] * n[1] + d[2] * n[2]) / np.maximum(total, 1), 1.0)
+
+
+def _slice_scores(distinct: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: whether it is known, the add-one unigram log10, the Kneser-Ney log10."""
+    number, often = _words(distinct, m)
+    side = _side(often, m.most)
+    known = often > 0
+    base = np.log10((often + 1) / (m.tokens + m.words + 1))
+    before, total, *n = _of_numbers(number, m, "levels", ("before", "n0", "n1", "n2", "n3"))
+    if m.order == 2:
+        unigram = np.full(len(distinct), 1 / (m.words + 1))
+        total, n = np.full(len(distinct), m.pair_sums[0]), [np.full(len(distinct), x) for x in m.pair_sums[1:]]
+    else:
+        unigram = _discount(before, m.discounts[2]) / max(1, m.pairs) + m.rest / (m.words + 1)
+
+    bits = _U(21)
+    pairs, of_pair = np.unique(np.concatenate((v, u)).astype(_U) << bits | np.concatenate((w, v)).astype(_U), return_inverse=True)
+    x, y = (pairs >> bits).astype(np.int64), (pairs & _U((1 << 21) - 1)).astype(np.int64)
+    key, parts = _pair(number[x], number[y]), m.parts
+    n_pair = np.zeros(len(pairs), np.int64)
+    cell = _of(key, parts)
+
+    def count_pairs(arrays, here):
+        n_pair[here] = _count_of(arrays, key[here])
+
+    _look_up(m, ("pairs", "grid-pairs"), np.arange(len(pairs)), side[x] > 1, _home(number[x], parts), cell, count_pairs)
+    sums = [np.zeros(len(pairs), np.int64) for _ in range(4)]
+
+    def sum_contexts(arrays, here):
+        at, there = _found(arrays, "m", key[here])
+        for i, s in enumerate(sums):
+            s[here[there]] = arrays[f"n{i}"][at[there]]
+
+    _look_up(m, ("contexts", "grid-contexts"), np.unique(of_pair[len(w) :]), side[y] > 1, _home(number[y], parts), cell, sum_contexts)
+    seen = (n_pair > 0) if m.order > 2 else known[x]
+    once = (sums[0] == 0) & seen
+    sums[0][once], sums[1][once] = 1, 1
+
+    grams, of_gram = np.unique(of_pair[len(w) :].astype(_U) << _U(32) | w.astype(_U), return_inverse=True)
+    c, gw = (grams >> _U(32)).astype(np.int64), (grams & _U(0xFFFFFFFF)).astype(np.int64)
+    gu, gv, gw = number[x[c]], number[y[c]], number[gw]
+    key_g, cell_g = _triple(gu, gv, gw), _cell(gu, gv, gw, side[y[c]], parts)
+    count = np.zeros(len(grams), np.int64)
+    for p, here in _by_part(cell_g):
+        count[here] = _count_of(_mapped(f"{m.path}/grams-{p}"), key_g[here])
+
+    lower = _discount(n_pair[of_pair[: len(w)]], m.discounts[1]) / np.maximum(total[v], 1) + _weight(total, n, m.discounts[1])[v] * unigram[w]
+    of_context = of_pair[len(w) :]
+    p = _discount(count, m.discounts[0])[of_gram] / np.maximum(sums[0], 1)[of_context] + _weight(sums[0], sums[1:], m.discounts[0])[of_context] * lower
+    return known[w], base[w], np.log10(p)
+
+
 def score_block(texts: list[str | None], m: Model) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, add-one unigram log10, Kneser-Ney log10."""
+    tokens, at = _tokens(texts)
+    if not len(texts):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
     with np.errstate(over="ignore"):
-        v, u, at = _tokens(texts)
-        words, of_v = np.unique(v, return_inverse=True)
-        contexts, of_u = np.unique(u, return_inverse=True)
-        pairs, first, of_pair = np.unique(_pair(u, v), return_index=True, return_inverse=True)
-        count, before = _by_part(words, _part(words, m.word_parts), m.path, "words", {"count": "i8", "before": "i8"})
-        total, rest = _by_part(contexts, _part(contexts, m.word_parts), m.path, "contexts", {"total": "i8", "rest": "f8"})
-        (both,) = _by_part(pairs, _cell(u[first], v[first], m.side), m.path, "bigrams", {"count": "i8"})
-    base = np.log10((count + 1) / (m.tokens + m.words + 1))[of_v]
-    unigram = (_discount(before, m.unigram_discounts) / max(1, m.bigram_types) + m.unigram_rest / (m.words + 1))[of_v]
-    total, rest = total[of_u], rest[of_u]
-    bigram = _discount(both, m.bigram_discounts)[of_pair] / np.maximum(total, 1) + np.where(total > 0, rest, 1.0) * unigram
-    add = lambda x: np.add.reduceat(x, at[:-1]) if len(texts) else x[:0]
-    return np.diff(at), add((count > 0)[of_v].astype(np.int64)), add(base), add(np.log10(bigram))
+        each = [_slice_scores(*s, m) for s in _slices(tokens, at, m.order)]
+    known, base, model = (np.concatenate(x) for x in zip(*each, strict=True))
+    add = lambda x: np.add.reduceat(x, at[:-1])
+    return np.diff(at), add(known.astype(np.int64)), add(base), add(model)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model):

@@ -1,14 +1,20 @@
 """Words of whole texts as 64-bit hashes, computed over byte buffers with numpy.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; A-Z are lowered first.
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; A-Z are lowered first. Words of up to 64 bytes are
+hashed by a polynomial of random byte values; its collisions need long words of special form, so longer words
+take a cryptographic hash.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 #: Bytes hashed at a time; a longer word extends its piece.
 PIECE = 1 << 20
+#: Bytes of the longest word that the polynomial hashes.
+SHORT = 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RADIX = 0xD6E8FEB86659FD93
@@ -61,7 +67,10 @@ def _piece_hashes(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total[0] = 0
         np.cumsum(_BYTE[piece] * _power("up", len(piece))[: len(piece)], out=total[1:])
         raw = (total[end] - total[start]) * _power("down", len(piece) + 1)[start]
-        return mix(raw ^ ((end - start).astype(_U) * _ODD)), start
+        out = mix(raw ^ ((end - start).astype(_U) * _ODD))
+    for i in np.flatnonzero(end - start > SHORT).tolist():
+        out[i] = int.from_bytes(blake2b(piece[start[i] : end[i]], digest_size=8).digest())
+    return out, start
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

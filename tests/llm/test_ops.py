@@ -1,6 +1,7 @@
 """Each operator against brute force, on small and on odd inputs."""
 
 import base64
+import dataclasses
 import hashlib
 import json
 import math
@@ -14,6 +15,7 @@ import public_tokenizers as P
 import pytest
 
 from chronoweave.llm import bpe, kneser_ney, mixing, mpeg, near_dedup, pii, quality, secret_scan, sharding, token_files
+from chronoweave.llm.words import word_hashes
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -141,65 +143,122 @@ def test_token_files_null_ids_and_empty(spark, table, tmp_path):
 # 3 Kneser-Ney
 
 
-def plain_model(texts):
-    bigrams = Counter()
+def plain_model(texts, order):
+    """p(token, the words before it), and counts of words, by the formulas over dictionaries."""
+    grams = Counter()
     for t in texts:
-        seq = ["<begin>", *words(lower(t)), "<end>"]
-        bigrams.update(zip(seq, seq[1:], strict=False))
-    count, before, context = Counter(), Counter(), defaultdict(list)
-    for (u, w), c in bigrams.items():
-        count[w] += c
-        before[w] += 1
-        context[u].append(c)
+        seq = ["<begin>"] * (order - 1) + [*words(lower(t)), "<end>"]
+        grams.update(tuple(seq[i : i + order]) for i in range(len(seq) - order + 1))
+    count = Counter()
+    for g, c in grams.items():
+        count[g[-1]] += c
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
     numbers = lambda values: [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-    high, low = (kneser_ney.discounts_of(*numbers(x.values())) for x in (bigrams, before))
-    types, v = sum(before.values()), len(count)
-    weight = lambda d, values: sum(d[min(c, 3) - 1] for c in values)
-    rest = weight(low, before.values()) / types if types else 1.0
-
-    def p(u, w):
-        cut = lambda c, d: max(0.0, c - d[min(c, 3) - 1]) if c else 0.0
-        unigram = cut(before[w], low) / max(1, types) + rest / (v + 1)
-        if u not in context:
-            return unigram
-        total = sum(context[u])
-        return cut(bigrams[u, w], high) / total + weight(high, context[u]) / total * unigram
+    d = {k: kneser_ney.discounts_of(*numbers(level.values())) for k, level in levels.items()}
+    context = {k: defaultdict(list) for k in levels}
+    for k, level in levels.items():
+        for g, c in level.items():
+            context[k][g[:-1]].append(c)
+
+    def p(w, before, k=order):
+        if k == 0:
+            return 1 / (len(count) + 1)
+        before = tuple(before)[len(before) - k + 1 :]
+        lower_p = p(w, before, k - 1)
+        values = context[k].get(before)
+        if not values:
+            return lower_p
+        cut = lambda c: c - d[k][min(c, 3) - 1] if c else 0.0
+        return cut(levels[k][(*before, w)]) / sum(values) + sum(d[k][min(c, 3) - 1] for c in values) / sum(values) * lower_p
 
     return p, count
 
 
-def test_kneser_ney_matches_the_formulas(table, odd):
-    texts = [*odd[:-2], *near_copies(9, bases=4, copies=6), "The end. the END."]
+TALK = ["The end. the END.", "a b a b a b a b", "a a a a a a a", "x", "é " + "Ab" * 200, "é " + "aB" * 200]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_matches_the_formulas(table, odd, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SLICE", 1500)  # texts are cut, so that n-grams reach over slices
+    texts = [*odd[:-1], *near_copies(9, bases=4, copies=6), *TALK]
     train = [t for i, t in enumerate(texts) if i % 3]
-    model = kneser_ney.train(table(train))
-    p, count = plain_model(train)
+    model = kneser_ney.train(table(train), order=order)
+    p, count = plain_model(train, order)
     total, v = sum(count.values()), len(count)
     assert (model.tokens, model.words) == (total, v)
     for r in kneser_ney.score(table(texts), model).collect():
-        seq = ["<begin>", *words(lower(texts[r.doc_id])), "<end>"]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(seq) - 1, sum(count[w] > 0 for w in seq[1:]), total)
-        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (total + v + 1)) for w in seq[1:]))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(seq, seq[1:], strict=False)))
+        seq = ["<begin>"] * (order - 1) + [*words(lower(texts[r.doc_id])), "<end>"]
+        own = seq[order - 1 :]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), total)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (total + v + 1)) for w in own))
+        assert r.score == pytest.approx(sum(math.log10(p(w, seq[i : i + order - 1])) for i, w in enumerate(own)))
+    assert kneser_ney.score_block(texts, model)[3] == pytest.approx([r.score for r in kneser_ney.score(table(texts), model).orderBy("doc_id").collect()])
     vocabulary = [*count, "<never seen>"]
-    for u in ("<begin>", "w1", "not a context"):
-        assert sum(p(u, w) for w in vocabulary) == pytest.approx(1)
-
-
-def test_kneser_ney_without_training_rows(table):
-    model = kneser_ney.train(table([]))
-    (row,) = kneser_ney.score(table(["a b"]), model).collect()
-    assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, 0.0)
-
-
-def test_kneser_ney_grid_of_parts(table, monkeypatch):
-    texts = near_copies(4, bases=6, copies=3)
-    one = kneser_ney.score(table(texts), kneser_ney.train(table(texts))).orderBy("doc_id").collect()
+    for before in (["<begin>"] * 2, ["a", "b"], ["w1", "w2"], ["not", "known"]):
+        assert sum(p(w, before) for w in vocabulary) == pytest.approx(1)
+
+
+def test_kneser_ney_without_rows(table):
+    for order in (2, 3):
+        model = kneser_ney.train(table([]), order=order)
+        (row,) = kneser_ney.score(table(["a b"]), model).collect()
+        assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, 0.0)
+        one = kneser_ney.train(table([None]), order=order)
+        assert kneser_ney.score(table(["", "b"]), one).count() == 2
+        assert kneser_ney.score(table([]), one).count() == 0
+    with pytest.raises(ValueError, match="order"):
+        kneser_ney.train(table(["a"]), order=4)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_grids_of_hot_words(table, monkeypatch, order):
+    texts = [*near_copies(4, bases=6, copies=3), *[f"hot w{i} hot w{i * i % 90} hot hot" for i in range(200)]]
+    one = kneser_ney.score(table(texts), kneser_ney.train(table(texts), order=order)).orderBy("doc_id").collect()
     monkeypatch.setattr(kneser_ney, "PART_CHARS", 2000)
+    monkeypatch.setattr(kneser_ney, "WORDS_CHARS", 5000)
     monkeypatch.setattr(kneser_ney, "COUNT_CHARS", 3000)
-    model = kneser_ney.train(table(texts))
-    assert model.side >= 2
+    model = kneser_ney.train(table(texts), order=order)
+    assert model.parts > 4 and model.word_parts > 1
+    p, _ = plain_model(texts, order)
     many = kneser_ney.score(table(texts), model).orderBy("doc_id").collect()
     assert [r.score for r in many] == pytest.approx([r.score for r in one])
+    seq = ["<begin>"] * (order - 1) + [*words(texts[-1]), "<end>"]
+    assert many[-1].score == pytest.approx(sum(math.log10(p(w, seq[i : i + order - 1])) for i, w in enumerate(seq[order - 1 :])))
+
+
+def test_kneser_ney_does_not_take_missing_files_for_zero_counts(table, tmp_path):
+    model = kneser_ney.train(table(["a b c"]))
+    with pytest.raises(Exception, match="No such file"):
+        kneser_ney.score(table(["a b c"]), dataclasses.replace(model, path=str(tmp_path / "elsewhere"))).collect()
+
+
+def test_hash_arrays_find_all_and_nothing_else():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 3, 1000, 50_000):
+        key, count = np.unique(r.integers(0, 2**64, n, dtype=np.uint64)), r.integers(1, 4, n)
+        arrays = kneser_ney._counts(key, count[: len(key)])
+        assert (kneser_ney._count_of(arrays, key) == count[: len(key)]).all()
+        assert not kneser_ney._count_of(arrays, r.integers(0, 2**64, 5000, dtype=np.uint64)).any()
+
+
+def test_packed_arrays_come_back():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 700):
+        arrays = [r.integers(0, top, n, dtype=np.uint64) for top in (2, 300, 70_000, 2**40)]
+        assert [a.tolist() for a in kneser_ney._unpacked(kneser_ney._packed(*arrays))] == [a.tolist() for a in arrays]
+
+
+def test_words_of_structure_do_not_collide():
+    """Complementary Thue-Morse words agree under every polynomial modulo a power of two."""
+    for n in (64, 65, 256, 1024, 4096):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        h, _ = word_hashes([f"x {word} {other} {word} y"])
+        assert len(set(h.tolist())) == 4 and h[1] == h[3]
+        s, at = near_dedup.shingle_sets([word, other], 5)
+        assert s[0] != s[1]
 
 
 # 4 quality rules
