@@ -2,13 +2,16 @@
 
 Sources in code-point order (null last) get the weights in turn; they share `percent` of all words, a
 target stops at `cap` times its source's words, and the excess is shared anew by weight. A source's rate is
-target / words. A document's copies are floor(rate), plus one if a hash of its id and text, seeded, falls
-under rate - floor(rate). Every source takes, among `seeds` seeds, the one whose draw comes nearest to its
-target: each is the same Bernoulli law, and all are summed in one aggregation.
+target / words. A document's copies are floor(rate), plus one if 52 bits of the MD5 of seed, id and text fall
+under rate - floor(rate). Draws are independent, so the words taken from a source scatter about its target as
+the sizes of its documents do.
+
+Only the word counts (id, source, size, draw) are written and summed per source, never texts; the sources, a row
+each, are ranked in one task.
 
-Only the word counts (id, source, size, key) are shuffled, pre-aggregated per source, never texts.
 Defined results: null text has no words; a source without words has target and rate 0; rows equal in id
-and text share their draw; reruns agree.
+and text share their draw; reruns agree; very long texts are taken whole or not; an empty table gives no rows;
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +30,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    return F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"])
-
-
-def _draw(key: Column, seed: Column) -> Column:
-    """Uniform in [0, 1), from 53 bits of a hash."""
-    return F.xxhash64(key, seed).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+def _draw(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
+    """Uniform in [0, 1)."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(docs[f"`{id_col}`"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[f"`{text_col}`"], F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, cap: int) -> DataFrame:
@@ -54,18 +54,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, cap: int)
     return ranked.select("source", "source_size", F.when(capped, F.col("most").cast("double")).otherwise(F.col("first.level") * F.col("w")).alias("target"))
 
 
-def rates(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, cap: int = 2, seeds: int = 32) -> DataFrame:
-    """Per source: source_size, target, whole (copies each document gets), part (chance of one more) and seed."""
+def rates(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, cap: int = 2) -> DataFrame:
+    """Per source: source_size, target, whole (copies each document gets) and part (chance of one more)."""
     by = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     by = by.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.floor("rate"))
-    by = written(by.select(F.col("source").alias("s"), "source_size", "target", "whole", "part"), "targets")
-    near = joined(sized.select("source", "size", "key"), by, "source")
-    drawn = [F.sum(F.when(_draw(F.col("key"), F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(seeds)]
-    sums = near.groupBy(F.col("source").alias("s2")).agg(*drawn, F.first("source_size").alias("n2"), F.first("part").alias("p2"))
-    off = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("n2") * F.col("p2")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)])
-    best = sums.select("s2", F.array_min(off)["k"].alias("seed"))
-    return written(by.join(best, F.col("s").eqNullSafe(F.col("s2"))).drop("s2"), "rates")
+    return written(by.select(F.col("source").alias("s"), "source_size", "target", "whole", "part"), "targets")
 
 
 def joined(rows: DataFrame, by: DataFrame, source_col: str) -> DataFrame:
@@ -76,25 +70,25 @@ def joined(rows: DataFrame, by: DataFrame, source_col: str) -> DataFrame:
 
 
 def _copies() -> Column:
-    return F.col("whole") + (_draw(F.col("key"), F.col("seed")) < F.col("part")).cast("int")
+    return F.col("whole") + (F.col("draw") < F.col("part")).cast("int")
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     cols = [docs[f"`{id_col}`"].alias("id"), docs[f"`{source_col}`"].cast("string").alias("source"), n_words(docs[f"`{text_col}`"]).alias("size")]
-    return written(docs.select(*cols, _key(docs, id_col, text_col).alias("key")), "sizes")
+    return written(docs.select(*cols, _draw(docs, id_col, text_col, seed).alias("draw")), "sizes")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **how) -> DataFrame:
     """Per document: id, size, source_size, target, copies, taken (words the mix takes from it)."""
-    sized = measured(docs, id_col, text_col, source_col)
+    sized = measured(docs, id_col, text_col, source_col, seed)
     out = joined(sized, rates(sized, **how), "source").withColumn("copies", _copies())
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **how) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; columns stay."""
-    by = rates(measured(docs, id_col, text_col, source_col), **how)
-    own = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs[f"`{source_col}`"].cast("string").alias("source"), _key(docs, id_col, text_col).alias("key"))
+    by = rates(measured(docs, id_col, text_col, source_col, seed), **how)
+    own = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs[f"`{source_col}`"].cast("string").alias("source"), _draw(docs, id_col, text_col, seed).alias("draw"))
     out = joined(own, by, "source").withColumn("copies", _copies()).where("copies > 0")
     out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -85,24 +85,26 @@ def features(text: Column) -> Column:
     )
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("tinyint")
+def _vote(bad: str, good: str) -> Column:
+    return F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0)).cast("tinyint")
 
 
-#: name -> (bad, good) over the features struct; integers only, so that every engine agrees. Each defect has two rules
+#: name -> (bad, good), SQL over the features; integers only, so that every engine agrees. Each defect has two rules
 #: or more: the estimation learns a rule's accuracy from its agreement with others.
-RULES: dict[str, Callable[[Column], tuple[Column, Column]]] = {
-    "length": lambda f: (f["n_words"] < 30, f["n_words"] >= 80),
-    "word_length": lambda f: ((f["word_chars"] > 15 * f["n_words"]) | (f["word_chars"] < 2 * f["n_words"]), (f["word_chars"] <= 10 * f["n_words"]) & (f["word_chars"] >= 3 * f["n_words"])),
-    "symbols": lambda f: (10 * f["n_symbols"] > f["n_words"], 50 * f["n_symbols"] <= f["n_words"]),
-    "duplicate_lines": lambda f: (10 * f["n_dup_lines"] > 3 * f["n_lines"], (f["n_lines"] >= 2) & (20 * f["n_dup_lines"] <= f["n_lines"])),
-    "repeated_windows": lambda f: (10 * f["n_repeat_words"] > 3 * f["n_words"], 10 * f["n_repeat_words"] <= f["n_words"]),
-    "distinct_words": lambda f: ((f["n_words"] >= 50) & (f["n_words"] > 20 * f["n_distinct"]), 4 * f["n_distinct"] >= f["n_words"]),
-    "capitals": lambda f: (10 * f["n_capitals"] > 3 * f["word_chars"], 5 * f["n_capitals"] <= f["word_chars"]),
-    "exclamations": lambda f: (5 * f["n_exclamations"] > f["n_words"], 50 * f["n_exclamations"] <= f["n_words"]),
-    "marked_words": lambda f: (10 * f["n_marked"] > f["n_words"], 50 * f["n_marked"] <= f["n_words"]),
-    "symbol_characters": lambda f: (50 * f["n_symbols"] > f["word_chars"], 400 * f["n_symbols"] <= f["word_chars"]),
+RULES: dict[str, tuple[str, str]] = {
+    "length": ("n_words < 30", "n_words >= 80"),
+    "word_length": ("word_chars > 15 * n_words OR word_chars < 2 * n_words", "word_chars <= 10 * n_words AND word_chars >= 3 * n_words"),
+    "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    "duplicate_lines": ("10 * n_dup_lines > 3 * n_lines", "n_lines >= 2 AND 20 * n_dup_lines <= n_lines"),
+    "repeated_windows": ("10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
+    "distinct_words": ("n_words >= 50 AND n_words > 20 * n_distinct", "4 * n_distinct >= n_words"),
+    "capitals": ("10 * n_capitals > 3 * word_chars", "5 * n_capitals <= word_chars"),
+    "exclamations": ("5 * n_exclamations > n_words", "50 * n_exclamations <= n_words"),
+    "marked_words": ("10 * n_marked > n_words", "50 * n_marked <= n_words"),
+    "symbol_characters": ("50 * n_symbols > word_chars", "400 * n_symbols <= word_chars"),
 }
+#: Rounds of EM.
+ROUNDS = 12
 
 VOTES = (-1, 0, 1)
 #: rule -> vote -> log of its chance in good over its chance in bad documents.
@@ -118,7 +120,7 @@ def _posterior(weights: Weights, prior: float) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def estimate(patterns: DataFrame, rounds: int = 12, tolerance: float = 0.01) -> tuple[Weights, float]:
+def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[Weights, float]:
     """The weight of every vote and the share of good documents, by EM over (votes, n) rows.
 
     It starts from documents with a bad vote being bad and all others good. A bad vote never counts for good
@@ -134,7 +136,7 @@ def estimate(patterns: DataFrame, rounds: int = 12, tolerance: float = 0.01) ->
         if not got:
             break
         whole = [sum(got.get((0, v), (0, 0))[i] for v in VOTES) for i in (0, 1)]
-        old, weights = weights, {}
+        weights = {}
         for j, name in enumerate(names):
             w = {}
             for v in VOTES:
@@ -143,8 +145,6 @@ def estimate(patterns: DataFrame, rounds: int = 12, tolerance: float = 0.01) ->
             weights[name] = {-1: min(0.0, w[-1]), 0: w[0], 1: max(0.0, w[1])}
         prior = min(0.99, max(0.01, whole[1] / whole[0]))
         q = _posterior(weights, prior)
-        if max(abs(weights[k][v] - old[k][v]) for k in names for v in VOTES) < tolerance:
-            break
     return weights, prior
 
 
@@ -153,7 +153,8 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, min_
     names = docs.columns if keep is None else keep
     own = [docs[f"`{c}`"].alias(f"d{i}") for i, c in enumerate(names)]
     rows = docs.select(*own, features(docs[f"`{text_col}`"]).alias("q"))
-    rows = rows.select("*", *[_vote(*rule(F.col("q"))).alias(PREFIX + name) for name, rule in RULES.items()])
+    rows = rows.select("*", "q.*")
+    rows = rows.select(*[f"d{i}" for i in range(len(names))], "q", *[_vote(*rule).alias(PREFIX + name) for name, rule in RULES.items()])
     rows = written(rows, "votes")
     votes = [PREFIX + name for name in RULES]
     patterns = written(rows.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1), "patterns")

@@ -2,13 +2,14 @@
 
 Base spans, leftmost and non-overlapping per kind: assign (a keyword, a separator, a value of 6 or more
 characters), access (AKIA..., 20 or more) and hex (24 or more). The method adds `entropy` spans: candidate
-strings of 20 or more characters [A-Za-z0-9+/_=-] with a digit get the Shannon entropy of every window of
+strings, runs of 20 or more characters [A-Za-z0-9+/_=-], get the Shannon entropy of every window of
 20 characters from counts that change by one character in and one out; a window over its class's bound
-(hex, lower case or upper case with digits, mixed, base64) makes the candidate a span, unless the allow-list
-knows its form or a base span has it.
+(hex, lower case or upper case with digits, letters of both cases, mixed, base64) makes the candidate a span,
+unless the allow-list knows its form or a base span has it. Letters of one case only are taken for words.
 
-Positions are code points, end exclusive. Null text is empty: no spans. Equal texts, equal spans; an empty
-table gives an empty result. No shuffle: every text is scanned where it is read.
+Positions are code points, end exclusive. Defined results: null text is empty: no spans; equal texts, equal
+spans; of overlapping spans of different kinds all are listed; very long texts are scanned whole; an empty
+table gives an empty result; other columns stay. No shuffle: every text is scanned where it is read.
 """
 
 from __future__ import annotations
@@ -25,17 +26,19 @@ MIN_VALUE = 6
 #: A greedy run is kept or dropped as a whole, so the least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits per character that the best window must reach, by character class: what 99 in 100 windows of uniformly random
-#: characters reach (hex 16, lower and upper with digits 32 as in base32, mixed 62, base64 64 characters).
-BOUNDS = {"hex": 2.9, "lower": 3.34, "upper": 3.34, "mixed": 3.64, "base64": 3.64}
+#: characters reach (hex 16, lower and upper with digits 32 as in base32, letters 52, mixed 62, base64 64 characters).
+BOUNDS = {"hex": 2.9, "lower": 3.34, "upper": 3.34, "letters": 3.58, "mixed": 3.64, "base64": 3.64}
 #: The first class whose form fits is a candidate's; what fits none is base64.
-CLASSES = {"hex": "^[0-9a-fA-F]+$", "lower": "^[0-9a-z]+=*$", "upper": "^[0-9A-Z]+=*$", "mixed": "^[0-9A-Za-z]+=*$"}
-#: Forms that are no secrets: plain numbers, UUIDs, slugs and paths of words and numbers, identifiers of capitalised words with a number.
+CLASSES = {"hex": "^[0-9a-fA-F]+$", "lower": "^[0-9a-z]+=*$", "upper": "^[0-9A-Z]+=*$", "letters": "^[A-Za-z]+=*$", "mixed": "^[0-9A-Za-z]+=*$"}
+#: Forms that are no secrets: plain numbers, UUIDs, slugs and paths of words and numbers, words and identifiers of
+#: capitalised words, alone or joined by marks, such identifiers with a number, and what says that it is an example.
 ALLOWED = (
     r"^[0-9_=+/-]+$|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^/{0,2}(?:[A-Z]?[a-z]+|[0-9]+)(?:[-_/=]+(?:[A-Z]?[a-z]+|[0-9]+))+/?$"
+    r"|^[-_/=+]*(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*)(?:[-_/=+]+(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*))*[-_/=+]*$"
     r"|^[a-z]*(?:[A-Z][a-z]{2,})+[0-9]{1,4}$|(?i:example|placeholder|changeme|xxxx)"
 )
 MARK = "[SECRET]"
