@@ -82,8 +82,8 @@ def as_text(s: Column, e: Column) -> Column:
 
 
 def seconds(d: Column) -> Column:
-    """Epoch seconds of a day's start in the session's time zone."""
-    return F.unix_timestamp(d.cast("timestamp"))
+    """Epoch seconds of a day's start in UTC, whatever the session's time zone."""
+    return F.unix_date(d).cast("long") * 86400
 
 
 def from_seconds(c: Column) -> Column:

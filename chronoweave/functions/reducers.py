@@ -23,6 +23,9 @@ REDUCERS: dict[str, Reducer] = {
     "longest": lambda a, s: F.max_by(a, F.struct(F.length(a), a)),
 }
 
+#: What merges results of a reducer into the result over all.
+MERGES = {"min": "min", "max": "max", "sum": "sum", "count": "sum", "longest": "longest"}
+
 
 def reducer(r: str | Reducer) -> Reducer:
     return REDUCERS[r] if isinstance(r, str) else r

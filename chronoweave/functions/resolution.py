@@ -17,6 +17,12 @@ def _shift(d: datetime.date, months: int) -> datetime.date:
     return datetime.date(at // 12, at % 12 + 1, 1)
 
 
+def _later(d: datetime.date, months: int) -> datetime.date:
+    """The same day so many months later, or that month's last."""
+    first = _shift(d, months)
+    return first + datetime.timedelta(min(d.day, (_shift(first, 1) - first).days) - 1)
+
+
 @dataclass(frozen=True)
 class Resolution:
     """n of one unit. Day windows start at their anchor, month and year windows at the first of theirs."""
@@ -57,12 +63,11 @@ class Resolution:
         return s, _shift(s, self.months)
 
     def nth(self, first: datetime.date, i: int) -> tuple[datetime.date, datetime.date]:
-        """The i-th window from the one that contains `first`."""
+        """The i-th period from the date `first` on; a month's last day stands for days it lacks."""
         if self.unit == "days":
             s = first + datetime.timedelta(self.n * i)
             return s, s + datetime.timedelta(self.n)
-        s = _shift(self.window(first)[0], self.months * i)
-        return s, _shift(s, self.months)
+        return _later(first, self.months * i), _later(first, self.months * (i + 1))
 
     def minus(self, d: datetime.date) -> datetime.date:
         """Where the window before the one that contains d starts."""
@@ -106,6 +111,22 @@ class Resolution:
     def start(self, i: Column, anchor: Column) -> Column:
         return F.date_add(anchor, i * self.n) if self.unit == "days" else F.add_months(anchor, i * self.months)
 
+    def nth_of(self, first: Column, i: Column) -> tuple[Column, Column]:
+        """As nth."""
+        at = lambda k: F.date_add(first, k * self.n) if self.unit == "days" else F.add_months(first, k * self.months)
+        return at(i), at(i + 1)
+
+    def before(self, d: Column) -> Column:
+        """As minus."""
+        return F.date_sub(d, self.n) if self.unit == "days" else F.add_months(self.anchor(d), -self.months)
+
+    def count_between(self, s: Column, e: Column) -> Column:
+        """As number_between, for s not after e."""
+        if self.unit == "days":
+            return F.floor(F.datediff(e, s) / self.n).cast("int")
+        months = (F.year(e) - F.year(s)) * 12 + F.month(e) - F.month(s) - (F.day(e) < F.day(s)).cast("int")
+        return F.floor(months / self.months).cast("int")
+
     def windows_of(self, s: Column, e: Column, anchor: Column) -> Column:
         """The array of numbers of the windows that [s, e) meets."""
         return F.sequence(self.index(s, anchor), self.index(F.date_sub(e, 1), anchor))

@@ -1,31 +1,34 @@
-"""PageRank on every snapshot."""
+"""PageRank over time."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions.interval import END, START
 from chronoweave.plans.graph import TemporalGraph
-from chronoweave.plans.snapshots import both_ways, snapshots
-from chronoweave.plans.storage import written
+from chronoweave.plans.normalize import V_KEY, attached, both_ways, islands, overlap_join, running_total, temporal_aggregate
+from chronoweave.plans.storage import Growing, written
 
 
 def pagerank(g: TemporalGraph, tol: float, reset: float = 0.15, iterations: int = 2**31 - 1, directed: bool = True) -> DataFrame:
     """Vertices with rank, unnormalised: reset plus what flows in. A vertex passes on a change above tol only.
 
-    A round joins the last changes with the weighted edges and sums by receiver; the ranks are summed once, at the end.
+    Changes are intervals, cut only where a vertex gets something else. A round joins the last changes with the
+    weighted edges and sums by receiver; the rounds' changes are one table, summed once at the end.
     """
-    s = snapshots(g)
-    e = s.e.select("t", "src", "dst") if directed else both_ways(s.e)
-    out = e.groupBy("src", "t").agg(F.count("*").alias("n"))
-    weighted = written(e.join(out, ["src", "t"]).select("t", "src", "dst", (F.lit(1 - reset) / F.col("n")).alias("w")), "weights")
-    change = s.v.select("vid", "t", F.lit(float(reset)).alias("d"))
-    changes = change
+    e = g.edges.select("src", "dst", START, END) if directed else both_ways(g.edges)
+    out = running_total(e.withColumnRenamed("src", "__v"), ["__v"], F.lit(1), "__n").withColumnsRenamed({START: "__s", END: "__e"})
+    weighted = overlap_join(e, out, F.col("src") == F.col("__v"), ("__s", "__e"))
+    weighted = written(weighted.select("src", "dst", START, END, (F.lit(1 - reset) / F.col("__n")).alias("w")), "weights")
+    changes = Growing(g.vertices.sparkSession, "changes")
+    change = changes.add(islands(g.vertices, V_KEY).withColumn("d", F.lit(float(reset))))
     for _ in range(iterations):
-        sent = change.where(F.col("d") > tol).withColumnRenamed("vid", "src").join(weighted, ["src", "t"])
-        change = written(sent.groupBy(F.col("dst").alias("vid"), "t").agg(F.sum(F.col("d") * F.col("w")).alias("d")), "changes")
+        last = change.where(F.col("d") > tol).select(F.col("vid").alias("__v"), F.col("d").alias("__d"), F.col(START).alias("__s"), F.col(END).alias("__e"))
+        sent = overlap_join(weighted, last, F.col("src") == F.col("__v"), ("__s", "__e"))
+        got = temporal_aggregate(sent.select(F.col("dst").alias("vid"), START, END, (F.col("__d") * F.col("w")).alias("x")), V_KEY, [F.sum("x").alias("d")])
+        change = changes.add(islands(got, ["vid", "d"]).select("vid", START, END, "d"))
         if change.isEmpty():
             break
-        changes = changes.unionAll(change)
-    ranks = changes.groupBy("vid", "t").agg(F.sum("d").alias("rank"))
-    return s.attach(ranks, {"rank": F.col("rank")})
+    ranks = temporal_aggregate(changes.all(), V_KEY, [F.sum("d").alias("rank")])
+    return attached(g.vertices, ranks, {"rank": F.col("rank")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -14,38 +15,53 @@ from chronoweave.plans.graph import E_COLUMNS, TemporalGraph
 STRATEGIES = ("canonical_random_vertex_cut", "edge_partition_2d", "naive_temporal", "consecutive_temporal", "hybrid_random_temporal", "hybrid_2d_temporal")
 
 
-def _random_cut(n: int) -> Column:
+#: A prime; products of numbers under it and the factors here stay under 2**63, so that any engine's integers do.
+PRIME = (1 << 31) - 1
+
+
+def _hash(c: Column) -> Column:
+    return F.pmod(F.pmod(c, F.lit(PRIME)) * 48271 + 11, F.lit(PRIME))
+
+
+def _random_cut(n: Column) -> Column:
     """The same part for both directions of an edge."""
-    return F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(n)).cast("int")
+    return F.pmod(F.pmod(_hash(F.least("src", "dst")) * 31 + _hash(F.greatest("src", "dst")), F.lit(PRIME)), n)
 
 
-def _two_d(n: int) -> Column:
+def _two_d(n: Column) -> Column:
     """A cell of a square grid: a vertex is in one row and one column only."""
-    side = math.ceil(math.sqrt(n))
-    row, column = (F.pmod(F.xxhash64(c), F.lit(side)) for c in ("src", "dst"))
-    return F.pmod(column * side + row, F.lit(n)).cast("int")
+    side = F.ceil(F.sqrt(n)).cast("long")
+    return F.pmod(F.pmod(_hash(F.col("dst")), side) * side + F.pmod(_hash(F.col("src")), side), n)
+
+
+def _spread(i: Column, groups: int, n: int, within: Callable[[Column], Column]) -> Column:
+    """More parts than groups: each group has parts of its own, the first ones one more where it does not come out even."""
+    each, more = divmod(n, groups)
+    size = F.when(i < more, F.lit(each + 1)).otherwise(F.lit(each)).cast("long")
+    return i * each + F.least(i, F.lit(more)) + within(size)
+
+
+def _runs(i: Column, groups: int, n: int) -> Column:
+    """More groups than parts: each part has consecutive ones, the first parts one more where it does not come out even."""
+    each, more = divmod(groups, n)
+    longer = more * (each + 1)
+    return F.when(i < longer, F.floor(i / (each + 1))).otherwise(more + F.floor((i - longer) / max(1, each)))
 
 
 def part_of(strategy: str, n: int, intervals: int, runs: int = 1) -> Column:
     """The part, 0 to n - 1, of each row; runs is how many consecutive intervals a hybrid strategy keeps together."""
-    t = F.col("t")
-    if strategy == "canonical_random_vertex_cut":
-        return _random_cut(n)
-    if strategy == "edge_partition_2d":
-        return _two_d(n)
-    if strategy == "naive_temporal":
-        if n <= intervals:
-            return F.pmod(t, F.lit(n)).cast("int")
-        spread = -(-n // max(1, intervals))  # more parts than intervals: several for each
-        return F.pmod(t + intervals * _random_cut(spread), F.lit(n)).cast("int")
-    if strategy == "consecutive_temporal":
-        return F.least(F.floor(t * n / max(1, intervals)), F.lit(n - 1)).cast("int")
-    groups = max(1, math.ceil(intervals / runs))
-    each = max(1, n // groups)
-    if strategy in ("hybrid_random_temporal", "hybrid_2d_temporal"):
-        within = _random_cut(each) if strategy == "hybrid_random_temporal" else _two_d(each)
-        return F.pmod(F.floor(t / runs) * each + within, F.lit(n)).cast("int")
-    raise ValueError(f"no such strategy: {strategy}")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no such strategy: {strategy}")
+    width = runs if strategy.startswith("hybrid") else 1
+    i, groups = F.floor(F.col("t") / width), max(1, math.ceil(intervals / width))
+    within = _two_d if strategy in ("edge_partition_2d", "hybrid_2d_temporal") else _random_cut
+    if "temporal" not in strategy:
+        part = within(F.lit(n).cast("long"))
+    elif groups < n:
+        part = _spread(i, groups, n, within)
+    else:
+        part = F.pmod(i, F.lit(n)) if strategy == "naive_temporal" else _runs(i, groups, n)
+    return part.cast("int")
 
 
 def partition_by(edges: DataFrame, strategy: str, n: int, intervals: int, runs: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.interval import END, START, overlaps
 from chronoweave.plans.graph import TemporalGraph
-from chronoweave.plans.normalize import E_KEY, V_KEY, align, merge_interval_lists
+from chronoweave.plans.normalize import E_KEY, V_KEY, align, merge_interval_lists, swept
 
 Combine = Callable[[Column, Column], Column]
 
@@ -20,8 +20,8 @@ def _union(a: DataFrame, b: DataFrame, keys: list[str], f: Combine) -> DataFrame
 
 
 def _minus(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    left, right = align([a, b.select(*keys, START, END)], keys)
-    return left.join(right.distinct(), [*keys, START, END], "left_anti").select(*a.columns)
+    left = swept(a, b, keys, ["attr"]).where("a is not null and b is null")
+    return left.select(*keys, START, END, "a.attr").select(*a.columns)
 
 
 def _common(a: DataFrame, b: DataFrame, keys: list[str], f: Combine) -> DataFrame:

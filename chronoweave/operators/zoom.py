@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.interval import END, START
 from chronoweave.functions.quantify import Quantifier
-from chronoweave.functions.reducers import Reducer, reducer
+from chronoweave.functions.reducers import MERGES, Reducer, reducer
 from chronoweave.functions.resolution import Resolution
 from chronoweave.plans.graph import E_COLUMNS, TemporalGraph
-from chronoweave.plans.normalize import E_KEY, V_KEY, overlap_join, temporal_aggregate
+from chronoweave.plans.normalize import E_KEY, V_KEY, merged_aggregate, overlap_join, temporal_aggregate
 
 
 @dataclass(frozen=True)
@@ -76,10 +76,15 @@ def temporal_zoom(g: TemporalGraph, spec: TimeSpec | ChangeSpec, vquant: Quantif
 def structural_zoom(g: TemporalGraph, group: Callable[[Column, Column], Column], vreduce: str | Reducer) -> TemporalGraph:
     """Vertices become groups group(vid, attr); edges keep their ids and lead between the groups of their ends.
 
-    Members are aligned within their group only, not on the whole graph's sequence.
+    Members are aligned within their group only, not on the whole graph's sequence; where the reducer merges, those
+    of equal interval are reduced before they are cut, so a group of a third of all vertices is no hot key.
     """
     members = g.vertices.withColumn("__g", group(F.col("vid"), F.col("attr")))
-    v = temporal_aggregate(members.select(F.col("__g").alias("vid"), START, END, "attr"), V_KEY, [reducer(vreduce)(F.col("attr"), F.col(START)).alias("attr")])
+    grouped = members.select(F.col("__g").alias("vid"), START, END, "attr")
+    if vreduce in MERGES:
+        v = merged_aggregate(grouped, V_KEY, reducer(vreduce)(F.col("attr"), F.col(START)), reducer(MERGES[vreduce])(F.col("attr"), F.col(START)))
+    else:
+        v = temporal_aggregate(grouped, V_KEY, [reducer(vreduce)(F.col("attr"), F.col(START)).alias("attr")])
     e = g.edges
     for end in ("src", "dst"):
         m = members.select(F.col("vid").alias("__v"), F.col("__g").alias(f"__{end}"), F.col(START).alias("__s"), F.col(END).alias("__e"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 VK, EK = "vid", "eid, src, dst"
-WHERE = {"": "", "a": "WHERE event_id % 3 <> 0", "b": "WHERE event_id % 3 <> 1"}
+WHERE = {"": "", "a": "", "b": "WHERE event_type = 'purchase'"}
 
 
 def co(rel: str, keys: str, touching: str = "<=") -> str:
@@ -145,17 +145,45 @@ def messages(sent: str) -> str:
 {"x0 AS (SELECT vp.*, coalesce(gp.agg, 0) AS agg FROM vp LEFT JOIN gp USING (vid, t_start, t_end))"} {co("x0", "vid, attr, agg")}"""
 
 
-def pagerank(rounds: int, edges: str) -> str:
-    steps = [f"w_ AS (SELECT t, src, dst, 0.85 / count(*) OVER (PARTITION BY t, src) AS w FROM {edges})", "d0 AS (SELECT vid, t, CAST(0.15 AS DOUBLE) AS d FROM sv)"]
-    steps += [f"d{i} AS (SELECT dst AS vid, w_.t, sum(d * w) AS d FROM d{i - 1} JOIN w_ ON src = vid AND w_.t = d{i - 1}.t GROUP BY dst, w_.t)" for i in range(1, rounds + 1)]
+def pagerank(rounds: int, edges: str, tol: float = 0.0) -> str:
+    steps = [f"w_ AS MATERIALIZED (SELECT t, src, dst, 0.85 / count(*) OVER (PARTITION BY t, src) AS w FROM {edges})", "d0 AS (SELECT vid, t, CAST(0.15 AS DOUBLE) AS d FROM sv)"]
+    steps += [f"d{i} AS MATERIALIZED (SELECT dst AS vid, w_.t, sum(d * w) AS d FROM d{i - 1} JOIN w_ ON src = vid AND w_.t = d{i - 1}.t WHERE d > {tol} GROUP BY dst, w_.t)" for i in range(1, rounds + 1)]
     total = " UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(rounds + 1))
-    return f"WITH {SNAP}, {', '.join(steps)}, r_ AS (SELECT vid, t, round(sum(d), 6) AS rank FROM ({total}) GROUP BY vid, t) SELECT sv.vid, s.t_start, s.t_end, rank FROM sv JOIN r_ USING (vid, t) JOIN seq s ON s.idx = sv.t"
+    return f"WITH {SNAP}, {', '.join(steps)}, r_ AS (SELECT vid, t, round(sum(d) + 1e-9, 6) AS rank FROM ({total}) GROUP BY vid, t) SELECT sv.vid, s.t_start, s.t_end, rank FROM sv JOIN r_ USING (vid, t) JOIN seq s ON s.idx = sv.t"
 
 
 def distances(edges: str, landmarks: str) -> str:
+    """Breadth first: a row is new if its vertex, snapshot and landmark have none yet."""
     return f"""WITH RECURSIVE {SNAP}, back AS (SELECT DISTINCT t, dst AS vid, src AS nx FROM {edges} WHERE src <> dst),
-bfs AS (SELECT vid, t, vid AS landmark, 0 AS d FROM sv WHERE vid IN ({landmarks}) UNION SELECT b.nx, b.t, bfs.landmark, bfs.d + 1 FROM bfs JOIN back b ON b.vid = bfs.vid AND b.t = bfs.t WHERE bfs.d < 12)
-SELECT x.vid, s.t_start, s.t_end, x.landmark, CAST(min(x.d) AS INTEGER) AS d FROM bfs x JOIN seq s ON s.idx = x.t GROUP BY x.vid, s.t_start, s.t_end, x.landmark"""
+bfs(vid, t, landmark, d) USING KEY (vid, t, landmark) AS (SELECT vid, t, vid, 0 FROM sv WHERE vid IN ({landmarks}) UNION
+  SELECT DISTINCT b.nx, b.t, x.landmark, x.d + 1 FROM bfs x JOIN back b ON b.vid = x.vid AND b.t = x.t
+  LEFT JOIN recurring.bfs r ON r.vid = b.nx AND r.t = b.t AND r.landmark = x.landmark WHERE r.vid IS NULL)
+SELECT x.vid, s.t_start, s.t_end, x.landmark, CAST(x.d AS INTEGER) AS d FROM bfs x JOIN seq s ON s.idx = x.t"""
+
+
+def pregel(rounds: int, active: str) -> str:
+    """The greatest id that reaches a vertex along edges, in supersteps: an edge sends if its ends were active."""
+    steps = ["l0 AS (SELECT vid, t, vid AS x, true AS on_ FROM sv)"]
+    for i in range(rounds):
+        sent = f"SELECT e.dst AS vid, e.t, max(p.x) AS x FROM se e JOIN l{i} p ON p.vid = e.src AND p.t = e.t JOIN l{i} q ON q.vid = e.dst AND q.t = e.t WHERE p.x > q.x AND ({active}) GROUP BY e.dst, e.t"
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT l.vid, l.t, greatest(l.x, coalesce(m.x, l.x)) AS x, m.x IS NOT NULL AS on_ FROM l{i} l LEFT JOIN ({sent}) m ON m.vid = l.vid AND m.t = l.t)")
+    return f"WITH {SNAP}, {', '.join(steps)} {attached('x.x', f'l{rounds}', 'value')}"
+
+
+def partition(strategy: str, n: int, runs: int) -> str:
+    """Rows by part and snapshot; i is a run of snapshots, k how many there are."""
+    h = lambda c: f"((({c}) % 2147483647 * 48271 + 11) % 2147483647)"
+    random = f"(({h('least(src, dst)')} * 31 + {h('greatest(src, dst)')}) % 2147483647)"
+    two_d = lambda size: f"(({h('dst')} % ceil(sqrt({size}))::BIGINT * ceil(sqrt({size}))::BIGINT + {h('src')} % ceil(sqrt({size}))::BIGINT) % {size})"
+    size = f"({n} // k + CASE WHEN i < {n} % k THEN 1 ELSE 0 END)"
+    spread = f"i * ({n} // k) + least(i, {n} % k) + {two_d(size) if '2d' in strategy else f'{random} % {size}'}"
+    runs_of = f"CASE WHEN i < (k % {n}) * (k // {n} + 1) THEN i // (k // {n} + 1) ELSE k % {n} + (i - (k % {n}) * (k // {n} + 1)) // greatest(k // {n}, 1) END"
+    part = {
+        "canonical_random_vertex_cut": f"{random} % {n}", "edge_partition_2d": two_d(str(n)),
+        "naive_temporal": f"CASE WHEN k >= {n} THEN i % {n} ELSE {spread} END",
+    }.get(strategy, f"CASE WHEN k >= {n} THEN {runs_of} ELSE {spread} END")
+    width = runs if strategy.startswith("hybrid") else 1
+    return f"WITH {SNAP}, r AS (SELECT se.*, t // {width} AS i, (SELECT CAST(ceil(count(*) / {width}) AS BIGINT) FROM seq) AS k FROM se) SELECT CAST({part} AS INTEGER) AS part, t, count(*) AS n FROM r GROUP BY ALL"
 
 
 TRIANGLES = f"""{SNAP}, p_ AS (SELECT DISTINCT t, least(src, dst) AS a, greatest(src, dst) AS b FROM se WHERE src <> dst),

@@ -35,8 +35,10 @@ class TemporalGraph:
     _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
-    def of(cls, vertices: DataFrame, edges: DataFrame, coalesced: bool = False, eager: bool = False) -> TemporalGraph:
-        """A graph of relations with these column names; eager coalesces at once."""
+    def of(cls, vertices: DataFrame, edges: DataFrame, coalesced: bool = False, eager: bool | None = None) -> TemporalGraph:
+        """A graph of relations with these column names; eager, by default the session's chronoweave.coalesce = eager, coalesces at once."""
+        if eager is None:
+            eager = vertices.sparkSession.conf.get("chronoweave.coalesce", "lazy") == "eager"
         g = cls(vertices.select(*V_COLUMNS), edges.select(*E_COLUMNS), coalesced, coalesced)
         return g.coalesced() if eager else g
 
@@ -93,8 +95,8 @@ class TemporalGraph:
 
     def violations(self) -> DataFrame:
         """Edge periods in which an end does not exist; empty for a valid graph."""
-        cut, kept = normalize.align([self.edges, normalize.constrain_edges(self.vertices, self.edges)], E_KEY)
-        return normalize.coalesce(cut.join(kept, [*E_KEY, START, END], "left_anti").select(*E_COLUMNS), E_KEY)
+        rows = normalize.swept(self.edges, normalize.constrain_edges(self.vertices, self.edges), E_KEY, ["attr"]).where("a is not null and b is null")
+        return normalize.coalesce(rows.select(*E_KEY, START, END, "a.attr").select(*E_COLUMNS), E_KEY)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> TemporalGraph:
         return replace(self, vertex_tuples=self.vertex_tuples.persist(level), edge_tuples=self.edge_tuples.persist(level))

@@ -62,13 +62,21 @@ def sequence(*dfs: DataFrame) -> DataFrame:
     return b.select((F.row_number().over(w) - 1).alias("idx"), F.col("d").alias(START), F.lead("d").over(w).alias(END)).where(f"{END} is not null")
 
 
-def pieces(df: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df cut at its keys' elementary intervals: an equi join with the overlap as a residual."""
+def pieces(df: DataFrame, cuts: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:
+    """df cut at its keys' elementary intervals: an equi join with the overlap as a residual.
+
+    With salts, a key's tuples are dealt to so many tasks, and its intervals, one a day at most, go to all of them.
+    """
     c = cuts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(START).alias("__s"), F.col(END).alias("__e"))
+    if salts > 1:
+        c = c.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        df = df.withColumn("__salt", F.pmod(F.hash(START, END), F.lit(salts)))
     on = (F.col("__s") >= F.col(START)) & (F.col("__e") <= F.col(END))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    rest = [x for x in df.columns if x not in (START, END)]
+    if salts > 1:
+        on = on & (F.col("__salt") == F.col("__salt2"))
+    rest = [x for x in df.columns if x not in (START, END, "__salt")]
     return df.join(c, on).select(*rest, F.col("__s").alias(START), F.col("__e").alias(END))
 
 
@@ -95,6 +103,11 @@ def constrain_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(*edges.columns)
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst, t_start, t_end) of edges and of their reverses; a self-loop counts twice."""
+    return edges.select("src", "dst", START, END).unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), START, END))
+
+
 def triplets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with src_attr and dst_attr, cut where either changes."""
     out = edges
@@ -110,6 +123,17 @@ def temporal_aggregate(df: DataFrame, keys: Sequence[str], aggregates: Sequence[
     return cut.groupBy(*keys, START, END).agg(*aggregates)
 
 
+def merged_aggregate(df: DataFrame, keys: Sequence[str], first: Column, merge: Column, attr: str = "attr") -> DataFrame:
+    """(keys, t_start, t_end, attr) as a sequenced group-by, for aggregates that merge (first, then merge over attr).
+
+    Tuples of equal key and interval become one before anything is cut, so a key has as many as there are different
+    intervals, not as it has members; what is left of a large key is cut by several tasks.
+    """
+    own = df.groupBy(*keys, START, END).agg(first.alias(attr))
+    cuts = elementary(boundaries(own, keys=keys), keys)
+    return pieces(own, cuts, keys, salts=16).groupBy(*keys, START, END).agg(merge.alias(attr))
+
+
 def running_total(df: DataFrame, keys: Sequence[str], weight: Column, out: str) -> DataFrame:
     """For every key and interval the sum of the weights of the tuples that hold there, where it is not 0.
 
@@ -123,14 +147,62 @@ def running_total(df: DataFrame, keys: Sequence[str], weight: Column, out: str)
     return islands(swept, [*keys, out])
 
 
+def swept(a: DataFrame, b: DataFrame, keys: Sequence[str], a_cols: Sequence[str] = (), b_cols: Sequence[str] = ()) -> DataFrame:
+    """(keys, t_start, t_end, a, b): two relations side by side, each of which has one tuple for a key and day at most.
+
+    a and b are structs of the columns of the tuple that holds, null where there is none; periods in which neither
+    holds are left out. A sweep over starts and ends: one shuffle by keys, no join, whatever the tuples' lengths.
+    """
+    rows = None
+    for df, cols, mine, other in ((a, a_cols, "a", "b"), (b, b_cols, "b", "a")):
+        value = F.struct(F.lit(True).alias("on"), *[F.col(f"`{c}`").alias(c) for c in cols])
+        gone = F.struct(F.lit(False).alias("on"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols])
+        ends = F.array(F.struct(F.col(START).alias("d"), value.alias("x")), F.struct(F.col(END).alias("d"), gone.alias("x")))
+        steps = df.where(F.col(START) < F.col(END)).select(*keys, F.explode(ends).alias("e")).select(*keys, "e.d", F.col("e.x").alias(mine))
+        rows = steps if rows is None else rows.unionByName(steps, allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("d", F.coalesce(F.col("a.on"), F.col("b.on")))  # at a day, ends come before starts
+    now = order.rowsBetween(Window.unboundedPreceding, 0)
+    state = [F.last(c, ignorenulls=True).over(now).alias(c) for c in "ab"]
+    out = rows.select(*keys, F.col("d").alias(START), F.lead("d").over(order).alias(END), *state).where(f"{START} < {END} and (a.on or b.on)")
+    return out.select(*keys, START, END, *[F.when(F.col(f"{c}.on"), F.col(c)).alias(c) for c in "ab"])
+
+
+def attached(vertices: DataFrame, values: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Vertices with the columns, made from the values (vid, t_start, t_end, ...) that hold at the time or from nulls."""
+    own = [c for c in values.columns if c not in (*V_KEY, START, END)]
+    rows = swept(vertices, values, V_KEY, ["attr"], own).where("a is not null")
+    out = rows.select("vid", START, END, "a.attr", *[F.col(f"b.{c}").alias(c) for c in own]).select("vid", START, END, "attr", *[c.alias(k) for k, c in columns.items()])
+    return islands(out, [*V_KEY, "attr", *columns]).select("vid", START, END, "attr", *columns)
+
+
 def merge_interval_lists(a: DataFrame, b: DataFrame, keys: Sequence[str], f) -> DataFrame:
     """Two interval-to-value relations as one: f(left, right) where both hold, else the one that does."""
-    left, right = align([a.select(*keys, START, END, "attr"), b.select(*keys, START, END, "attr")], keys)
-    both = left.withColumnRenamed("attr", "__l").join(right.withColumnRenamed("attr", "__r"), [*keys, START, END], "full_outer")
-    value = F.when(F.col("__l").isNotNull() & F.col("__r").isNotNull(), f(F.col("__l"), F.col("__r"))).otherwise(F.coalesce("__l", "__r"))
+    both = swept(a, b, keys, ["attr"], ["attr"])
+    value = F.when(F.col("a.attr").isNotNull() & F.col("b.attr").isNotNull(), f(F.col("a.attr"), F.col("b.attr"))).otherwise(F.coalesce("a.attr", "b.attr"))
     return both.select(*keys, START, END, value.alias("attr"))
 
 
+def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What of each tuple of a all tuples of b with its key leave, as tuples of their own. Tuples may overlap.
+
+    b becomes its gaps, the first and the last of them open; a key that b lacks is one gap.
+    """
+    w = Window.partitionBy(*keys).orderBy(START)
+    low, high = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
+    covered = islands(b, keys)
+    placed = covered.select(*[F.col(k).alias(f"__{k}") for k in keys], START, END, F.coalesce(F.lag(END).over(w), low).alias("__l"), F.lead(START).over(w).isNull().alias("__last"))
+    before, after = F.struct(F.col("__l").alias("s"), F.col(START).alias("e")), F.struct(F.col(END).alias("s"), high.alias("e"))
+    gaps = placed.select(*[f"__{k}" for k in keys], F.explode(F.when(F.col("__last"), F.array(before, after)).otherwise(F.array(before))).alias("g"))
+    gaps = gaps.select(*[f"__{k}" for k in keys], "g.s", "g.e")
+    gaps = gaps.withColumnsRenamed({"s": "__s", "e": "__e"})
+    same = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__{k}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    left = overlap_join(a, gaps, same, ("__s", "__e")).select(*a.columns)
+    whole = a.join(covered.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), same, "left_anti")
+    return left.unionByName(whole).where(F.col(START) < F.col(END))
+
+
 def interval_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """The common refinement of two sequences."""
     return elementary(boundaries(a, b))

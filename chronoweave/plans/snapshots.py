@@ -1,16 +1,18 @@
-"""The graph by elementary intervals: every analytic runs on all snapshots at once, keyed by their number t."""
+"""The graph by elementary intervals, for what is dealt by snapshot: a row for each snapshot in which a tuple holds.
+
+Analytics do not go through this: they keep intervals, and cut them only where the values they meet change.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.interval import END, START
 
 from .graph import TemporalGraph
-from .normalize import V_KEY, islands
 from .storage import written
 
 
@@ -22,15 +24,9 @@ class Snapshots:
     e: DataFrame
     sequence: DataFrame
 
-    def attach(self, values: DataFrame, columns: dict[str, Column]) -> DataFrame:
-        """Vertices with the columns, made from values (vid, t, ...) where there are any, coalesced over time."""
-        seq = F.broadcast(self.sequence.withColumnRenamed("idx", "t"))
-        out = self.v.join(values, ["vid", "t"], "left").join(seq, "t").select("vid", START, END, "attr", *[c.alias(k) for k, c in columns.items()])
-        return islands(out, [*V_KEY, "attr", *columns]).select("vid", START, END, "attr", *columns)
-
 
 def snapshots(g: TemporalGraph) -> Snapshots:
-    """Explodes tuples to snapshot numbers. Boundaries of tuples are boundaries of the sequence, so equi joins do;
+    """Tuples by snapshot number. Boundaries of tuples are boundaries of the sequence, so equi joins do;
     the sequence, a row for each day at most, is broadcast."""
     seq = written(g.sequence(), "sequence")
     starts = F.broadcast(seq.select(F.col(START).alias("__sd"), F.col("idx").alias("__i")))
@@ -40,9 +36,4 @@ def snapshots(g: TemporalGraph) -> Snapshots:
         each = df.join(starts, F.col(START) == F.col("__sd")).join(ends, F.col(END) == F.col("__ed"))
         return each.withColumn("t", F.explode(F.sequence("__i", "__j"))).drop("__sd", "__ed", "__i", "__j", START, END)
 
-    return Snapshots(written(exploded(g.vertices), "snapshot-v"), written(exploded(g.edges), "snapshot-e"), seq)
-
-
-def both_ways(e: DataFrame) -> DataFrame:
-    """Edges and their reverses; a self-loop counts twice."""
-    return e.select("t", "src", "dst").unionAll(e.select("t", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return Snapshots(exploded(g.vertices), exploded(g.edges), seq)

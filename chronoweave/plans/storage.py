@@ -18,8 +18,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class Growing:
+    """A table that grows by a part a round; reading it is one scan, however many rounds there were."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.rounds = spark, fresh_path(spark, name), 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes a part, and returns it as read from there."""
+        part = f"{self.path}/round={self.rounds}"
+        df.write.parquet(part)
+        self.rounds += 1
+        return self.spark.read.schema(df.schema).parquet(part)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("round")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as files: a lost executor takes nothing with it, and plans that read it start there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O  # noqa: N812
@@ -20,7 +19,7 @@ from .operators import partition as parts
 from .plans import normalize as N  # noqa: N812
 from .plans.graph import TemporalGraph
 from .plans.snapshots import snapshots
-from .plans.storage import shared_dir
+from .plans.storage import fresh_path
 from .sources import graphs, text
 from .sources.datasets import social, trade
 
@@ -123,9 +122,44 @@ def triplets(spark, sf_dir):
     return social(spark, sf_dir).triplets()
 
 
-@query(f"WITH {O.SOCIAL} SELECT eid, src, dst, t_start, t_end, attr FROM e WHERE false")
+_TORN = f"{O.SOCIAL}, torn AS (SELECT * FROM v WHERE attr <> 'click'), {O.life('sl', 'torn')}, k AS ({O.constrained('e', 'sl')}), {O.cut(O.EK, 'tc', 'e', 'k')}, ep AS ({O.on_cut('e', 'tc', O.EK)}), kp AS ({O.on_cut('k', 'tc', O.EK)}), x AS ({O.minus('ep', 'kp', O.EK)})"
+
+
+@query(f"WITH {_TORN} {O.co('x', E)}")
 def integrity_violations(spark, sf_dir):
-    return social(spark, sf_dir).violations()
+    """Of a graph whose vertices lack their days of clicks, while its edges stay."""
+    g = social(spark, sf_dir)
+    return TemporalGraph.of(g.vertex_tuples.where("attr <> 'click'"), g.edge_tuples).violations()
+
+
+_LEFT = f"{O.SOCIAL}, err AS (SELECT vid, t_start, t_end FROM v WHERE attr = 'error'), {O.cut(O.VK, 'lc', 'v', 'err')}, vp AS ({O.on_cut('v', 'lc', O.VK)}), rp AS ({O.on_cut('err', 'lc', O.VK, 't_start AS s_')}), x AS ({O.minus('vp', 'rp', O.VK)})"
+
+
+@query(f"WITH {_LEFT} {O.co('x', V)}")
+def interval_difference_list(spark, sf_dir):
+    """Of each user's periods what all the periods of errors leave."""
+    v = social(spark, sf_dir).vertices
+    return N.coalesce(N.subtract(v, v.where("attr = 'error'").select("vid", START, END), N.V_KEY), N.V_KEY)
+
+
+@query(f"""WITH {O.TRADE}, q AS (SELECT * FROM v WHERE vid < 1000000000)
+SELECT vid, t_start, t_end, t_start - 7 AS week_before, CAST(date_trunc('month', t_start) - INTERVAL 3 MONTH AS DATE) AS quarter_before, CAST(date_trunc('year', t_start) - INTERVAL 1 YEAR AS DATE) AS year_before,
+CAST((t_end - t_start) // 7 AS INTEGER) AS weeks, CAST(datesub('month', t_start, t_end) // 2 AS INTEGER) AS two_months, CAST(t_start + INTERVAL 6 MONTH AS DATE) AS third_start, CAST(t_start + INTERVAL 8 MONTH AS DATE) AS third_end FROM q""")
+def resolution_arithmetic(spark, sf_dir):
+    s, e = F.col(START), F.col(END)
+    two = Resolution(2, "months")
+    third = two.nth_of(s, F.lit(3))
+    v = trade(spark, sf_dir).vertices.where("vid < 1000000000")  # customers
+    return v.select("vid", s, e, WEEK.before(s).alias("week_before"), Resolution(3, "months").before(s).alias("quarter_before"), Resolution(1, "years").before(s).alias("year_before"),
+                    WEEK.count_between(s, e).alias("weeks"), two.count_between(s, e).alias("two_months"), third[0].alias("third_start"), third[1].alias("third_end"))
+
+
+@query(f"WITH {O.TRADE} SELECT vid, t_start, t_end, t_start = t_end AS empty, row_number() OVER (ORDER BY t_start, t_end, vid) AS place, least(t_start, DATE '1997-01-01') AS low, greatest(t_end, DATE '1997-01-01') AS high FROM v")
+def interval_order(spark, sf_dir):
+    s, e, day = F.col(START), F.col(END), I.date("1997-01-01")
+    v = trade(spark, sf_dir).vertices
+    placed = v.withColumn("place", F.row_number().over(Window.orderBy(I.sort_key(s, e), "vid")).cast("long"))
+    return placed.select("vid", s, e, I.is_empty(s, e).alias("empty"), "place", I.min_date(s, day).alias("low"), I.max_date(e, day).alias("high"))
 
 
 # Filters and maps
@@ -210,9 +244,9 @@ def node_at(spark, sf_dir):
     return graphs.node_at(social(spark, sf_dir), 5, LO)
 
 
-@query(f"WITH {O.SOCIAL} SELECT eid, src, dst, attr FROM e0 WHERE eid = 1000002 AND t_start <= DATE '{LO}' AND DATE '{LO}' < t_end")
+@query(f"WITH {O.SOCIAL} SELECT eid, src, dst, attr FROM e0 WHERE eid = 2000009 AND t_start <= DATE '{LO}' AND DATE '{LO}' < t_end")
 def edge_at(spark, sf_dir):
-    return graphs.edge_at(social(spark, sf_dir), 1000002, LO)
+    return graphs.edge_at(social(spark, sf_dir), 2000009, LO)
 
 
 @query(f"WITH {O.SOCIAL} SELECT vid, t_start, t_end, attr FROM v WHERE vid = 5 AND {OVER}")
@@ -220,9 +254,9 @@ def node_history(spark, sf_dir):
     return graphs.node_history(social(spark, sf_dir), 5, LO, HI)
 
 
-@query(f"WITH {O.SOCIAL} SELECT eid, src, dst, t_start, t_end, attr FROM e WHERE eid = 1000002 AND {OVER}")
+@query(f"WITH {O.SOCIAL} SELECT eid, src, dst, t_start, t_end, attr FROM e WHERE eid = 2000009 AND {OVER}")
 def edge_history(spark, sf_dir):
-    return graphs.edge_history(social(spark, sf_dir), 1000002, LO, HI)
+    return graphs.edge_history(social(spark, sf_dir), 2000009, LO, HI)
 
 
 # Zoom
@@ -347,31 +381,7 @@ def merge_interval_lists(spark, sf_dir):
     return N.merge_interval_lists(a, b, N.V_KEY, lambda x, y: x + y)
 
 
-def _sequences(spark, sf_dir):
-    g = trade(spark, sf_dir)
-    return g.vertices.where("vid % 7 = 1"), g.vertices.where("vid % 7 = 2 and t_start >= '1996-01-01' and t_end < '2001-01-01'")
-
-
-_SEQ = f"{O.TRADE}, l AS (SELECT * FROM v WHERE vid % 7 = 1), r AS (SELECT * FROM v WHERE vid % 7 = 2 AND t_start >= DATE '1996-01-01' AND t_end < DATE '2001-01-01'), s AS ({O.seq('l', 'r')})"
-
-
-@query(f"WITH {_SEQ} SELECT t_start, t_end FROM s")
-def interval_union(spark, sf_dir):
-    return N.interval_union(*_sequences(spark, sf_dir))
-
-
-@query(f"WITH {_SEQ} SELECT t_start, t_end FROM s WHERE t_start >= (SELECT greatest((SELECT min(t_start) FROM l), (SELECT min(t_start) FROM r))) AND t_end <= (SELECT least((SELECT max(t_end) FROM l), (SELECT max(t_end) FROM r)))")
-def interval_intersect(spark, sf_dir):
-    return N.interval_intersect(*_sequences(spark, sf_dir))
-
-
-@query(f"WITH {_SEQ} SELECT t_start, t_end FROM s WHERE t_start >= (SELECT min(t_start) FROM r) AND t_end <= (SELECT max(t_end) FROM r)")
-def interval_difference(spark, sf_dir):
-    a, b = _sequences(spark, sf_dir)
-    return N.interval_difference(b, a)
-
-
-# The same over two whole relations, the vertices and the edges of trade.
+# Sequences of two whole relations, the vertices and the edges of trade.
 
 _ALL = f"{O.TRADE}, s AS ({O.seq('v', 'e')})"
 
@@ -382,17 +392,17 @@ def _relations(spark, sf_dir):
 
 
 @query(f"WITH {_ALL} SELECT t_start, t_end FROM s")
-def interval_union_all(spark, sf_dir):
+def interval_union(spark, sf_dir):
     return N.interval_union(*_relations(spark, sf_dir))
 
 
 @query(f"WITH {_ALL} SELECT t_start, t_end FROM s WHERE t_start >= (SELECT greatest((SELECT min(t_start) FROM v), (SELECT min(t_start) FROM e))) AND t_end <= (SELECT least((SELECT max(t_end) FROM v), (SELECT max(t_end) FROM e)))")
-def interval_intersect_all(spark, sf_dir):
+def interval_intersect(spark, sf_dir):
     return N.interval_intersect(*_relations(spark, sf_dir))
 
 
 @query(f"WITH {_ALL} SELECT t_start, t_end FROM s WHERE t_start >= (SELECT min(t_start) FROM e) AND t_end <= (SELECT max(t_end) FROM e)")
-def interval_difference_all(spark, sf_dir):
+def interval_difference(spark, sf_dir):
     a, b = _relations(spark, sf_dir)
     return N.interval_difference(b, a)
 
@@ -439,17 +449,23 @@ def _unpacked(df: DataFrame, s, values: list[str]) -> DataFrame:
 def pagerank_directed(spark, sf_dir):
     g = social(spark, sf_dir)
     out = pagerank.pagerank(g, tol=0.0, iterations=5)
-    return _unpacked(out, g.sequence(), ["rank"]).withColumn("rank", F.round("rank", 6))
+    return _unpacked(out, g.sequence(), ["rank"]).withColumn("rank", F.round(F.col("rank") + 1e-9, 6))
 
 
 @query(O.pagerank(5, "both_ways"))
 def pagerank_undirected(spark, sf_dir):
     g = social(spark, sf_dir)
     out = pagerank.pagerank(g, tol=0.0, iterations=5, directed=False)
-    return _unpacked(out, g.sequence(), ["rank"]).withColumn("rank", F.round("rank", 6))
+    return _unpacked(out, g.sequence(), ["rank"]).withColumn("rank", F.round(F.col("rank") + 1e-9, 6))
+
+
+@query(O.pagerank(12, "se", tol=0.02))
+def pagerank_tolerance(spark, sf_dir):
+    g = social(spark, sf_dir)
+    return _unpacked(pagerank.pagerank(g, tol=0.02, iterations=12), g.sequence(), ["rank"]).withColumn("rank", F.round(F.col("rank") + 1e-9, 6))
 
 
-_CC = f"""WITH RECURSIVE {O.SNAP}, near AS (SELECT DISTINCT t, src, dst FROM both_ways WHERE src <> dst AND t < 40),
+_CC = f"""WITH RECURSIVE {O.SNAP}, near AS (SELECT DISTINCT t, src, dst FROM both_ways WHERE src <> dst),
 r_ AS (SELECT vid, t, vid AS c FROM sv UNION SELECT n.dst, n.t, r_.c FROM r_ JOIN near n ON n.src = r_.vid AND n.t = r_.t WHERE r_.c < n.dst), cc AS (SELECT vid, t, min(c) AS c FROM r_ GROUP BY vid, t) {O.attached('x.c', 'cc', 'component')}"""
 
 
@@ -486,17 +502,22 @@ def clustering_coefficient(spark, sf_dir):
     return _unpacked(triangles.clustering_coefficient(g), g.sequence(), ["ccoeff"]).withColumn("ccoeff", F.round("ccoeff", 6))
 
 
-_PREGEL = O.SNAP + ", l0 AS (SELECT vid, t, vid AS x FROM sv)" + "".join(
-    f", l{i} AS (SELECT l.vid, l.t, greatest(l.x, coalesce(m.x, l.x)) AS x FROM l{i - 1} l LEFT JOIN (SELECT se.dst AS vid, se.t, max(p.x) AS x FROM se JOIN l{i - 1} p ON p.vid = se.src AND p.t = se.t GROUP BY se.dst, se.t) m ON m.vid = l.vid AND m.t = l.t)" for i in (1, 2, 3)
-)
-
-
-@query(f"WITH {_PREGEL} {O.attached('x.x', 'l3', 'value')}")
-def pregel_max_label(spark, sf_dir):
+def _register_pregel():
     def send(c):
         return {"dst": F.when(c["src_value"] > c["dst_value"], c["src_value"])}
 
-    return messages.pregel(social(spark, sf_dir), F.lit(-1).cast("long"), 3, lambda vid, value, m: F.greatest(value, m), send, lambda m: F.max(m), start=lambda vid, attr: vid, direction="out")
+    def pregel_query(name: str, direction: str, active: str):
+        def run(spark, sf_dir):
+            return messages.pregel(social(spark, sf_dir), F.lit(-1).cast("long"), 3, lambda vid, value, m: F.greatest(value, m), send, lambda m: F.max(m), start=lambda vid, attr: vid, direction=direction)
+
+        run.__name__ = name
+        query(O.pregel(3, active))(run)
+
+    for name, direction, active in (("max_label", "out", "p.on_"), ("in", "in", "q.on_"), ("either", "either", "p.on_ OR q.on_"), ("both", "both", "p.on_ AND q.on_")):
+        pregel_query(f"pregel_{name}", direction, active)
+
+
+_register_pregel()
 
 
 # Series
@@ -520,7 +541,7 @@ def series(spark, sf_dir):
 
 
 def _saved(spark, sf_dir, **how) -> str:
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "graph")
     graphs.save_graph(social(spark, sf_dir), path, **how)
     return path
 
@@ -544,29 +565,55 @@ def snapshot_scan(spark, sf_dir):
 
 @query(f"WITH {O.SOCIAL} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, attr, CAST(t_start - DATE '2024-01-01' AS INTEGER) AS t FROM e0")
 def edge_list_load(spark, sf_dir):
-    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "edges")
     lines = social(spark, sf_dir).edge_tuples.select(F.concat_ws(" ", "src", "dst", "attr").alias("value"), F.col(START).alias("day"))
     lines.write.partitionBy("day").text(path)
     return text.dated_edge_lists(spark, [path], date(2024, 1, 1), Resolution(1), canonical=True)
 
 
-def _register_partitions():
-    sql = {
-        "naive_temporal": f"WITH {O.SNAP} SELECT CAST(t % 4 AS INTEGER) AS part, t, count(*) AS n FROM se GROUP BY ALL",
-        "consecutive_temporal": f"WITH {O.SNAP}, k AS (SELECT count(*) AS k FROM seq) SELECT CAST(least(t * 4 // k, 3) AS INTEGER) AS part, t, count(*) AS n FROM se, k GROUP BY ALL",
-    }
+@query(f"WITH {O.DEGREE} SELECT degree || ' ' || count(*) AS value FROM deg GROUP BY degree")
+def degree_sink(spark, sf_dir):
+    """The lines of the file that the sink writes."""
+    path = fresh_path(spark, "degrees")
+    text.write_degree_distribution(degree.degree_distribution(social(spark, sf_dir)), path)
+    return spark.read.text(path)
+
+
+@query(f"WITH {O.SOCIAL} SELECT vid, attr FROM v0 WHERE t_start BETWEEN DATE '{LO}' AND DATE '{HI}'")
+def node_list_load(spark, sf_dir):
+    """Node lists of days, read for the days between two bounds, both inclusive."""
+    path = fresh_path(spark, "nodes")
+    lines = social(spark, sf_dir).vertex_tuples.select(F.concat_ws(" ", "vid", "attr").alias("value"), F.col(START).alias("day"))
+    lines.write.partitionBy("day").text(path)
+    days = [str(date(2024, 1, d)) for d in range(1, 31)]
+    return text.node_list(spark, [f"{path}/day={d}" for d in text.in_range(days, date.fromisoformat(LO), date.fromisoformat(HI))])
+
+
+@query(f"WITH {O.SOCIAL} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, true AS dealt, 'copy' AS name")
+def materialized(spark, sf_dir):
+    """Counts of a graph that was coalesced, dealt, computed and kept."""
+    g = parts.partition_graph(social(spark, sf_dir).coalesced().named("copy"), "edge_partition_2d", 4).materialize()
+    out = g.vertices.agg(F.count("*").alias("n_vertices")).join(g.edges.agg(F.count("*").alias("n_edges")), how="cross")
+    kept = spark.createDataFrame([r.asDict() for r in out.collect()], "n_vertices long, n_edges long")
+    dealt = g.num_partitions() == (4, 4)
+    g.unpersist()
+    return kept.select("*", F.lit(dealt).alias("dealt"), F.lit(g.name).alias("name"))
 
-    def strategy_query(strategy: str):
+
+def _register_partitions():
+    def strategy_query(strategy: str, name: str, n: int, runs: int):
         def run(spark, sf_dir):
             s = snapshots(social(spark, sf_dir))
-            out = parts.partition_by(s.e, strategy, 4, s.sequence.count(), 2).groupBy("part", F.col("t").cast("long").alias("t")).agg(F.count("*").alias("n"))
+            out = parts.partition_by(s.e, strategy, n, s.sequence.count(), runs).groupBy("part", F.col("t").cast("long").alias("t")).agg(F.count("*").alias("n"))
             return out.select(F.col("part").cast("int").alias("part"), "t", "n")
 
-        run.__name__ = f"partition_{strategy}"
-        query(sql.get(strategy))(run)
+        run.__name__ = name
+        query(O.partition(strategy, n, runs))(run)
 
     for strategy in parts.STRATEGIES:
-        strategy_query(strategy)
+        strategy_query(strategy, f"partition_{strategy}", 4, 2)
+        if "temporal" in strategy:  # more parts than snapshots
+            strategy_query(strategy, f"partition_{strategy}_spread", 70, 2)
 
 
 _register_partitions()

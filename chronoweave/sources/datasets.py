@@ -25,11 +25,11 @@ def _social(events: DataFrame) -> TemporalGraph:
 def social(spark: SparkSession, sf_dir: str, part: str = "") -> TemporalGraph:
     """Users of events, and who follows whom within an hour, by day; the edge attribute counts it.
 
-    part "a" or "b" takes the events whose number modulo 3 is not 0 or not 1, for operations on two graphs.
+    For operations on two graphs, part "a" is the graph of all events, "b" that of the purchases among them.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    if part:
-        events = events.where(F.col("event_id") % 3 != {"a": 0, "b": 1}[part])
+    if part == "b":
+        events = events.where(F.col("event_type") == "purchase")
     return _social(events)
 
 

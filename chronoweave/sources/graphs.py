@@ -66,11 +66,14 @@ def _read(spark: SparkSession, paths: Sequence[str], keys: list[str], attr: int
     return df.select(*ids, from_seconds(F.col("estart")).alias(START), from_seconds(F.col("eend")).alias(END), value.alias("attr"))
 
 
-def load_graph(spark: SparkSession, root: str, v_attr: int | str | None = None, e_attr: int | str | None = None, bounds: Bounds = (None, None), layout: str = "t", group: str = "") -> TemporalGraph:
+def load_graph(spark: SparkSession, root: str, v_attr: int | str | None = None, e_attr: int | str | None = None, bounds: Bounds = (None, None), layout: str = "t", group: str | None = None) -> TemporalGraph:
     """The graph stored under root: `nodes` and `edges`, or, with a group, the directories whose names carry intervals.
 
-    Attributes are chosen by name or by 1-based place; None or -1 is structure only.
+    Attributes are chosen by name or by 1-based place; None or -1 is structure only. Without a group, the session's
+    chronoweave.partitions.sgroup is taken, if it is set.
     """
+    if group is None:
+        group = spark.conf.get("chronoweave.partitions.sgroup", "")
     if bounds[0] and bounds[1]:
         checked(*bounds)
     if group:

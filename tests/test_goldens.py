@@ -1,5 +1,7 @@
 """Operators on small graphs with known results."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,3 +309,63 @@ def test_from_positions(spark):
     same_v(g.vertices, [(1, "x", "1970-01-01", "1970-01-04")])
     same_e(g.edges, [(9, 1, 1, "1970-01-02", "1970-01-03", True)])
     assert edges(spark, []).count() == 0
+
+
+def test_subtract_takes_away_all_of_a_list(spark):
+    a = vertices(spark, [(1, "x", 2000, 2020), (1, "y", 2005, 2010), (2, "x", 2000, 2001), (3, "x", 2000, 2010)])
+    b = vertices(spark, [(1, "", 2003, 2006), (1, "", 2004, 2007), (1, "", 2012, 2013), (3, "", 1990, 2030), (9, "", 2000, 2020)])
+    same_v(normalize.subtract(a, b, ["vid"]), [(1, "x", 2000, 2003), (1, "x", 2007, 2012), (1, "x", 2013, 2020), (1, "y", 2007, 2010), (2, "x", 2000, 2001)])
+    same_v(normalize.subtract(a, b.limit(0), ["vid"]), [(1, "x", 2000, 2020), (1, "y", 2005, 2010), (2, "x", 2000, 2001), (3, "x", 2000, 2010)])
+
+
+def test_a_long_edge_among_many_changes_stays_one_row(spark, tmp_path, monkeypatch):
+    """One edge over 1200 days, beside an edge a day between others: no table of an analytic has a row a day for it."""
+    from chronoweave.plans import storage
+
+    days = 1200
+    first = d(2000)
+    day = lambda i: first + timedelta(i)
+    daily = [(100 + i, 3, 4, day(i), day(i + 1), i) for i in range(days)]
+    g = graph(spark, [(i, "x", first, day(days)) for i in (1, 2, 3, 4)], [(1, 1, 2, first, day(days), 0), *daily])
+    tables = []
+
+    def noted(session, name):
+        tables.append(f"file://{tmp_path}/{name}-{len(tables)}")
+        return tables[-1]
+
+    monkeypatch.setattr(storage, "fresh_path", noted)
+    assert g.sequence().count() == days
+    found = [connected_components(g), shortest_paths(g, [2]), pagerank(g, tol=0.0, iterations=3), triangle_count(g)]
+    found.append(messages.pregel(g, F.lit(-1).cast("long"), 2, lambda vid, value, m: F.greatest(value, m), lambda c: {"dst": c["src_value"]}, F.max, start=lambda vid, attr: vid))
+    assert [df.where("vid <= 2").count() for df in found] == [2] * len(found)
+    assert len(tables) > 10
+    for path in tables:
+        df = spark.read.parquet(path)
+        ends = [c for c in ("vid", "x", "a", "src", "__v") if c in df.columns]
+        assert df.where(F.col(ends[0]) <= 2).count() < 20, path
+
+
+def test_structural_zoom_of_one_group_with_all_vertices(spark):
+    """Members of equal period become one before they are cut."""
+    n, years = 3000, 10
+    df = spark.range(n).selectExpr("id AS vid", "make_date(int(2000 + id % 10), 1, 1) AS t_start", "make_date(int(2001 + id % 10 + id % 3), 1, 1) AS t_end", "id AS attr")
+    g = TemporalGraph.of(df, edges(spark, []), coalesced=True)
+    rows = {(r.t_start.year, r.t_end.year): r.attr for r in zoom.structural_zoom(g, lambda vid, attr: F.lit(7).cast("long"), "sum").vertices.collect()}
+    assert rows == {(2000 + y, 2001 + y): sum(i for i in range(n) if i % 10 <= y < i % 10 + 1 + i % 3) for y in range(years)} | {(2010, 2011): sum(i for i in range(n) if i % 10 + i % 3 >= 10), (2011, 2012): sum(i for i in range(n) if i % 10 + i % 3 >= 11)}
+    small = normalize.merged_aggregate(df.selectExpr("7 AS g", "t_start", "t_end", "attr"), ["g"], F.max("attr"), F.max("attr"))
+    assert small.where("t_start = date'2005-01-01'").first().attr == max(i for i in range(n) if i % 10 <= 5 < i % 10 + 1 + i % 3)
+
+
+def test_times_survive_any_session_zone(spark, tmp_path):
+    from chronoweave.sources.graphs import load_graph, save_graph
+
+    g = graph(spark, [(1, "x", "2024-01-10", "2024-01-20"), (2, "x", "1950-03-31", "2024-10-27")], [])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("Europe/Berlin", "America/New_York", "Pacific/Kiritimati", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            path = f"{tmp_path}/{zone.replace('/', '-')}"
+            save_graph(g, path)
+            same_v(load_graph(spark, path, "attr").vertices, [(1, "x", "2024-01-10", "2024-01-20"), (2, "x", "1950-03-31", "2024-10-27")])
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)

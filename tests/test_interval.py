@@ -83,7 +83,8 @@ def test_resolutions():
     assert month.window(date(2012, 2, 29)) == (date(2012, 2, 1), date(2012, 3, 1))
     assert year.window(date(2012, 2, 29)) == (d(2012), d(2013))
     assert quarter.minus(date(2012, 2, 10)) == date(2011, 11, 1)
-    assert quarter.nth(date(2012, 2, 10), 2) == (date(2012, 8, 1), date(2012, 11, 1))
+    assert quarter.nth(date(2012, 2, 10), 2) == (date(2012, 8, 10), date(2012, 11, 10))
+    assert month.nth(date(2012, 1, 31), 1) == (date(2012, 2, 29), date(2012, 3, 31))
     assert month.number_between(d(2012), d(2014)) == 24
     assert Resolution(1).parts(month, date(2012, 2, 3)) == 29 and month.parts(year, d(2012)) == 12
     assert quarter.compatible(year) and not Resolution(2).compatible(year) and not Resolution(5, "months").compatible(year)
