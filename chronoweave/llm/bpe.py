@@ -7,7 +7,9 @@ touched neighbours get new pairs, which join the index. Words are independent of
 replay gives what the whole corpus's would, without a shuffle. A word in which a merge brings up a pair of a
 lower rank is done again alone, in the sequential order, so results are always those of greedy merging.
 
-Defined results: null and empty texts have no ids; equal texts have equal ids; columns stay.
+Defined results: null and empty texts have no ids; equal texts, repeated rows among them, have equal ids; very long
+texts are a block of their own and encoded whole; an empty table gives an empty one; columns stay, but for those
+of the names of the results.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .units import WORD, units
 from .words import blocks
 
 #: Characters of text in a block, and pieces whose ids a task keeps, twice, from block to block.
-BLOCK_CHARS = 5 << 20
-KEPT_PIECES = 250_000
+BLOCK_CHARS = 3 << 20
+KEPT_PIECES = 200_000
 _NONE = np.int32(2**31 - 1)
 
 

@@ -1,21 +1,28 @@
 """MPEG audio in media columns: frame headers resynchronised, tags and variable-bitrate tables parsed,
 checksums verified, exact durations and frame offsets kept.
 
-`store` writes a payload into a stream: an ID3v2 tag with its length, a frame with a Xing table, then
+`store` writes a payload into a stream: an ID3v2 tag with its length and crc32, a frame with a Xing table, then
 Layer III frames (MPEG-1, mono, checksummed) whose data hold the payload; the last frame takes the least
 bitrate that fits, so the rate varies. `read` parses any stream: it finds the first header whose successor
 is a header too, walks from frame to frame, and searches anew, counting skipped bytes, where one is missing.
-An ID3v1 tag is one only where no frame holds its place: a payload may have its mark at 128 bytes before the end.
+A frame of free format (no bitrate in its header) ends where the next header of its stream stands. Xing, Info and
+VBRI tables are read with their seek entries, which are held against the frames; what an encoder says it put
+before and behind the sound is taken off the duration. ID3v2 tags may have an extended header, a footer and
+unsynchronised bytes. An ID3v1 tag is one only where no frame holds its place: a payload may have its mark at 128
+bytes before the end.
 
 Defined results: null media has null columns; empty or foreign bytes have no frames, duration 0 and all
-bytes skipped; equal bytes have equal results; other columns stay.
+bytes skipped; equal bytes, repeated rows among them, have equal results; a very long payload is a long stream; an
+empty table gives an empty one; other columns stay, but for one of the name of the result.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache, partial
 
 import numpy as np
@@ -48,14 +55,14 @@ class Header:
     checked: bool
     bitrate: int
     rate: int
-    size: int
+    size: int  # 0 for a frame of free format, before its end is found
     samples: int
     mono: bool
 
     @property
     def form(self) -> tuple:
         """What does not change within a stream."""
-        return self.version, self.layer, self.rate, self.mono
+        return self.version, self.layer, self.rate, self.mono, not self.bitrate
 
     @property
     def side(self) -> int:
@@ -69,12 +76,12 @@ def header(raw: bytes) -> Header | None:
     if len(raw) < 4 or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
         return None
     kind, layer, rate_no, bit_no = raw[1] >> 3 & 3, 4 - (raw[1] >> 1 & 3), raw[2] >> 2 & 3, raw[2] >> 4
-    if kind == 1 or layer == 4 or rate_no == 3 or bit_no in (0, 15):
+    if kind == 1 or layer == 4 or rate_no == 3 or bit_no == 15:
         return None
     version = 1 if kind == 3 else 2
     kbits, rate, pad = BITRATES[version, layer if version == 1 else min(layer, 2)][bit_no], RATES[kind][rate_no], raw[2] >> 1 & 1
     samples = SAMPLES[version, layer]
-    size = (12000 * kbits // rate + pad) * 4 if layer == 1 else samples * 125 * kbits // rate + pad
+    size = 0 if not bit_no else (12000 * kbits // rate + pad) * 4 if layer == 1 else samples * 125 * kbits // rate + pad
     return Header(version, layer, not raw[1] & 1, kbits, rate, size, samples, raw[3] >> 6 == 3)
 
 
@@ -108,13 +115,32 @@ class Audio:
     table: str = ""
     table_frames: int = 0
     table_bytes: int = 0
-    toc: bytes = b""
+    toc: list[int] = field(default_factory=list)  # where the table says that its points are, in bytes from `origin`
+    origin: int = 0
+    per_point: int = 0  # frames between two points; 0 for hundredths of all frames
+    delay: int = 0
+    padding: int = 0
+    payload_crc: bool | None = None
     checked: int = 0
     checked_right: int = 0
     skipped: int = 0
     samples: int = 0
     rate: int = 0
 
+    @property
+    def sound(self) -> int:
+        """Samples without what the encoder put before and behind."""
+        return max(0, self.samples - self.delay - self.padding)
+
+    @property
+    def seek_error(self) -> int:
+        """The greatest distance in bytes of a seek entry from the frame that it stands for."""
+        if not self.toc or not self.frames:
+            return 0
+        n, last = len(self.toc), len(self.frames) - 1
+        places = [self.frames[min(last, i * self.per_point if self.per_point else len(self.frames) * i // n)][0] - self.origin for i in range(n)]
+        return max(abs(a - b) for a, b in zip(self.toc, places, strict=True))
+
 
 def _syncsafe(raw: bytes) -> int:
     return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
@@ -124,37 +150,68 @@ def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     """Bytes of the tag at the start, and its text frames."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0, {}
-    end, at, tags = min(len(data), 10 + _syncsafe(data[6:10])), 10, {}
-    while at + 10 <= end and data[at : at + 4].isalnum():
-        size = _syncsafe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8])
-        body = data[at + 10 : min(end, at + 10 + size)]
-        if data[at : at + 1] == b"T" and body:
+    version, flags = data[3], data[5]
+    end = 10 + _syncsafe(data[6:10])
+    after = min(len(data), end + 10 * (version == 4 and bool(flags & 0x10)))
+    raw = data[10:end]
+    if flags & 0x80 and version < 4:  # the whole tag; version 4 marks its frames
+        raw = raw.replace(b"\xff\x00", b"\xff")
+    number = _syncsafe if version == 4 else int.from_bytes
+    at, tags = 0, {}
+    if flags & 0x40 and len(raw) >= 4:
+        at = _syncsafe(raw[:4]) if version == 4 else 4 + int.from_bytes(raw[:4])
+    while at + 10 <= len(raw) and raw[at : at + 4].isalnum():
+        size, marks = number(raw[at + 4 : at + 8]), raw[at + 9]
+        body = raw[at + 10 : at + 10 + size]
+        if version == 4 and marks & 0x01:
+            body = body[4:]
+        if version == 4 and marks & 0x02:
+            body = body.replace(b"\xff\x00", b"\xff")
+        if raw[at : at + 1] == b"T" and body:
             text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            name, _, value = text.partition("\0") if data[at : at + 4] == b"TXXX" else (data[at : at + 4].decode(), "", text)
+            name, _, value = text.partition("\0") if raw[at : at + 4] == b"TXXX" else (raw[at : at + 4].decode(), "", text)
             tags[name] = value.rstrip("\0")
         at += 10 + size
-    return end, tags
+    return after, tags
 
 
 def _table(data: bytes, at: int, h: Header, out: Audio) -> bool:
     """Reads a Xing, Info or VBRI table in a Layer III frame."""
     x = at + 4 + h.side
     if data[x : x + 4] in (b"Xing", b"Info"):
-        flags, x, out.table = int.from_bytes(data[x + 4 : x + 8]), x + 8, data[x : x + 4].decode()
+        flags, x, out.table, out.origin = int.from_bytes(data[x + 4 : x + 8]), x + 8, data[x : x + 4].decode(), at
         if flags & 1:
             out.table_frames, x = int.from_bytes(data[x : x + 4]), x + 4
         if flags & 2:
             out.table_bytes, x = int.from_bytes(data[x : x + 4]), x + 4
         if flags & 4:
-            out.toc = data[x : x + 100]
+            out.toc = [b * out.table_bytes // 256 for b in data[x : x + 100]]
+            x += 100
+        x += 4 * bool(flags & 8)
+        if data[x : x + 4].isalnum() and x + 24 <= at + h.size:  # an encoder's name: 21 bytes on are its delay and padding
+            out.delay, out.padding = data[x + 21] << 4 | data[x + 22] >> 4, (data[x + 22] & 15) << 8 | data[x + 23]
         return True
     x = at + 36
     if data[x : x + 4] == b"VBRI":
         out.table, out.table_bytes, out.table_frames = "VBRI", int.from_bytes(data[x + 10 : x + 14]), int.from_bytes(data[x + 14 : x + 18])
+        entries, scale, width, out.per_point = (int.from_bytes(data[x + k : x + k + 2]) for k in (18, 20, 22, 24))
+        steps = [scale * int.from_bytes(data[x + 26 + width * i : x + 26 + width * (i + 1)]) for i in range(entries)]
+        out.origin, out.toc = at + h.size, [0, *itertools.accumulate(steps)][:entries]
         return True
     return False
 
 
+def _free_end(data: bytes, at: int, h: Header, end: int) -> int:
+    """Where a frame of free format ends: at the next header of its stream, or at the end."""
+    found = data.find(b"\xff", at + 4, end)
+    while found >= 0:
+        ahead = header(data[found : found + 4])
+        if ahead and ahead.form == h.form:
+            return found
+        found = data.find(b"\xff", found + 1, end)
+    return end
+
+
 def parse(data: bytes) -> Audio:
     out = Audio()
     at, out.tags = _id3v2(data)
@@ -166,6 +223,9 @@ def parse(data: bytes) -> Audio:
             out.tags.setdefault("TIT2", data[tag + 3 : tag + 33].split(b"\0")[0].decode("latin-1").strip())
             break
         h = header(data[at : at + 4])
+        if h and not h.size:  # free format is believed only where its stream goes on
+            stop = _free_end(data, at, h, tag if at < tag else end)
+            h = replace(h, size=stop - at) if h.form == form or stop not in (tag, end) else None
         after = at + h.size if h else at
         ahead = header(data[after : after + 4]) if h else None
         follows = bool(h and ahead and ahead.form == h.form)
@@ -212,16 +272,21 @@ def store(payload: bytes) -> bytes:
     ends = first_size + np.cumsum([0] + [len(f) for f in frames])
     toc = bytes(min(255, int(256 * ends[len(frames) * i // 100] // total)) for i in range(100))
     table = _head(_SIZES.index(first_size), False) + _SIDE + b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
-    text = b"\3payload_bytes\0" + str(len(payload)).encode()
-    tag = b"TXXX" + bytes((0, 0, 0, len(text), 0, 0)) + text
+    tag = b""
+    for name, value in ((b"payload_bytes", len(payload)), (b"payload_crc32", zlib.crc32(payload))):
+        text = b"\3" + name + b"\0" + str(value).encode()
+        tag += b"TXXX" + bytes((0, 0, 0, len(text), 0, 0)) + text
     return b"ID3\4\0\0" + bytes((0, 0, len(tag) >> 7, len(tag) & 127)) + tag + table.ljust(first_size, b"\0") + b"".join(frames)
 
 
 def payload_of(data: bytes, audio: Audio) -> bytes:
     """What `store` put in; for other streams the frames' data."""
     body = b"".join(data[at + (6 if h.checked else 4) + (h.side if h.layer == 3 else 0) : at + h.size] for at, h in audio.frames)
-    length = audio.tags.get("payload_bytes", "")
-    return body[: int(length)] if length.isdigit() else body
+    length, crc = (audio.tags.get(k, "") for k in ("payload_bytes", "payload_crc32"))
+    body = body[: int(length)] if length.isdigit() else body
+    if crc.isdigit():
+        audio.payload_crc = zlib.crc32(body) == int(crc)
+    return body
 
 
 def feature(a: Audio) -> str:
@@ -230,7 +295,7 @@ def feature(a: Audio) -> str:
     first = a.frames[0][1] if a.frames else None
     parts = {
         "version": first.version if first else "", "layer": first.layer if first else "", "rate": a.rate, "frames": len(a.frames), "samples": a.samples,
-        "kbits": "+".join(map(str, rates)), "table": f"{a.table}:{a.table_frames}:{a.table_bytes}", "crc": f"{a.checked_right}/{a.checked}", "skipped": a.skipped, "seek": "+".join(seek),
+        "kbits": "+".join(map(str, rates)), "table": f"{a.table}:{a.table_frames}:{a.table_bytes}", "crc": f"{a.checked_right}/{a.checked}", "payload_crc": "" if a.payload_crc is None else "right" if a.payload_crc else "wrong", "seek_error": a.seek_error, "skipped": a.skipped, "seek": "+".join(seek),
     }
     return ";".join(f"{k}={v}" for k, v in parts.items())
 
@@ -252,23 +317,34 @@ def _read(batches: Iterator[pa.RecordBatch]):
                 continue
             data = m.as_py()
             a = parse(data)
-            rows.append((payload_of(data, a), len(a.frames), a.samples, a.rate, a.samples / a.rate if a.rate else 0.0, a.checked_right, a.checked, a.skipped, [at for at, _ in a.frames], feature(a)))
+            rows.append((payload_of(data, a), len(a.frames), a.samples, a.rate, a.sound / a.rate if a.rate else 0.0, a.checked_right, a.checked, a.skipped, [at for at, _ in a.frames], feature(a)))
         columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(kinds))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
 
+def _packed(rows: DataFrame, col: str, kind: str, others: list[str]) -> DataFrame:
+    """(row, value): the other columns as a struct of plain names, whatever theirs are."""
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    names = [f"c{rows.columns.index(c)}" for c in others]
+    return plain.selectExpr(f"struct({', '.join(names) or '0 AS none'}) AS row", f"cast(c{rows.columns.index(col)} AS {kind}) AS value")
+
+
 def store_column(rows: DataFrame, payload_col: str, out: str = "media") -> DataFrame:
     """rows with one more column, the stream that holds the payload column's bytes; a column of its name is replaced."""
-    rows = without(rows, out)
-    plain = rows.selectExpr("struct(*) AS row", f"cast(`{payload_col}` AS binary) AS payload")
-    return plain.mapInArrow(partial(_stored), f"row {plain.schema['row'].dataType.simpleString()}, media binary").selectExpr("row.*", f"media AS `{out}`")
+    payload = rows.select(rows[f"`{payload_col}`"].alias("payload"), *[rows[f"`{c}`"] for c in rows.columns if c != out])
+    others = payload.columns[1:]
+    plain = payload.toDF("payload", *[f"c{i}" for i in range(len(others))])
+    packed = _packed(plain, "payload", "binary", plain.columns[1:])
+    got = packed.mapInArrow(_stored, f"row {packed.schema['row'].dataType.simpleString()}, media binary")
+    return got.selectExpr(*[f"row.c{i + 1} AS `{c}`" for i, c in enumerate(others)], f"media AS `{out}`")
 
 
 def read_column(rows: DataFrame, media_col: str = "media", out: str = "audio") -> DataFrame:
     """rows with one more column, a struct: payload, frames, samples, rate, duration_s, checksums, skipped, offsets, feature; a column of its name is replaced."""
     rows = without(rows, out)
     others = [c for c in rows.columns if c != media_col]
-    plain = rows.selectExpr(f"struct({', '.join(f'`{c}`' for c in others) or '0 AS none'}) AS row", f"`{media_col}` AS media")
+    packed = _packed(rows, media_col, "binary", others)
     kind = "payload binary, frames long, samples long, rate int, duration_s double, crc_right long, crc_all long, skipped long, offsets array<long>, feature string"
-    got = plain.mapInArrow(_read, f"row {plain.schema['row'].dataType.simpleString()}, media binary, {kind}")
-    return got.selectExpr(*[f"row.`{c}`" for c in others], f"media AS `{media_col}`", f"struct({', '.join(x.split()[0] for x in kind.split(', '))}) AS `{out}`")
+    got = packed.mapInArrow(_read, f"row {packed.schema['row'].dataType.simpleString()}, media binary, {kind}")
+    picks = [f"row.c{rows.columns.index(c)} AS `{c}`" for c in others]
+    return got.selectExpr(*picks, f"media AS `{media_col}`", f"struct({', '.join(x.split()[0] for x in kind.split(', '))}) AS `{out}`")

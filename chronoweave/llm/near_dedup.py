@@ -13,8 +13,11 @@ bucket, the members outside the bucket's largest component against one member of
 after each round. What is still apart in buckets of three or more goes through a prefix-filter join
 (rarest shingles first), which finds every remaining link between different components exactly.
 
-Defined results: rows with a null id are never linked (component null, kept). Rows that share an id
-stand or fall together. Further columns of the input are left alone.
+Defined results: null and empty texts have no shingles and are kept; rows with a null id are never linked
+(component null, kept). Rows that share an id but not the text have each the component of their own text;
+`drop_near_duplicates` goes by id and drops all rows of an id that one of them loses. Equal rows have equal
+results. Very long texts are hashed in pieces, whole. An empty table gives no rows. Further columns of the input,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small, written
 from .words import blocks, mix, seeds, word_hashes
 
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 3 << 19
 BANDS, ROWS = 32, 5
 STAR_ROUNDS = 6
 #: Ids of documents are broadcast up to this many (some 20 MB) and joined by shuffle beyond, with the same result.
 BROADCAST_IDS = 500_000
+#: Sets that share an element of the prefix join and are compared in one task; more are dealt to several.
+HOT_SETS = 4096
 _U = np.uint64
 _NONE = np.iinfo(np.uint64).max
 
@@ -150,23 +155,48 @@ def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes (node, comp) of different components that share one of their rarest shingles.
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp, n, rest, g): the rarest shingles of every set, and how many elements from each on.
 
-    Sets with Jaccard >= percent share one of the first n - ceil(percent * n / 100) + 1 elements of each
-    in any common order; at the first one they share, what follows in both must suffice for the overlap.
-    So none is lost, and sets that share only what is frequent do not meet.
+    Sets with Jaccard >= percent share one of the first n - ceil(percent * n / 100) + 1 elements of each in any
+    common order.
     """
     own = written(nodes.join(sets, "node").select("node", "comp", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
     often = own.groupBy("g").agg(F.count("*").alias("c"))
     first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
     kept = own.join(often, "g").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("s"))
     kept = kept.select("node", "comp", "n", F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "e")).where("e.c > 1")
-    kept = written(kept.select("node", "comp", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("e.g").alias("g")), "prefixes")
-    x, y = kept.alias("x"), kept.alias("y")
+    return written(kept.select("node", "comp", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("e.g").alias("g")), "prefixes")
+
+
+def _meeting(kept: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The smaller and the larger sets of possible pairs, with keys (g, side, salt) on which they meet.
+
+    At the first element that a pair shares, what follows in each must suffice for both sizes; so the smaller set
+    has it early enough for a partner of its own size, which is a shorter prefix. Sets of the component that most sets
+    of an element are in meet only others. An element of many sets is dealt to several tasks: the larger sets by a
+    hash, the smaller ones to all.
+    """
+    parts = kept.groupBy("g", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("g").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
+    rows = kept.join(main.select("g", F.ceil(F.col("c") / HOT_SETS).cast("int").alias("salts"), "main"), "g").withColumn("in_main", F.col("comp") == F.col("main"))
+    small = rows.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("n"))
+    small = small.withColumn("side", F.explode(F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    large = rows.withColumn("side", F.col("in_main")).withColumn("salt", F.pmod(F.hash("node"), "salts"))
+    return tuple(df.select("g", "side", "salt", "node", "comp", "n", "rest") for df in (small, large))
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes (node, comp) of different components that share one of their rarest shingles: none that may
+    pass the threshold is lost, and sets that share only what is frequent do not meet."""
+    small, large = _meeting(_prefixes(nodes, sets, percent), percent)
+    x, y = small.alias("x"), large.alias("y")
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.side") == F.col("y.side")) & (F.col("x.salt") == F.col("y.salt"))
+    sizes = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     enough = (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n"))
-    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & enough
-    return x.join(y, (F.col("x.g") == F.col("y.g")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = x.join(y, same & sizes & enough & (F.col("x.comp") != F.col("y.comp")))
+    return found.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
 
 
 def near_duplicates(

@@ -8,8 +8,12 @@ linked, and nobody without the key can go back. Numbers that fail validation are
 inside such a number is looked at again, with shorter ends and later starts. An IBAN ends by its country's length, a
 phone number by its country's digits or, where they vary, before a blank that follows a tighter separator.
 
-Where findings overlap, the earlier start wins, then the longer, then the order above. Null text stays null; a text
-without findings is unchanged; other columns stay. No shuffle.
+The key is an argument, never a constant here: who has it can invert every pseudonym.
+
+Where findings overlap, the earlier start wins, then the longer, then the order above. Defined results: null text
+stays null; an empty text and one without findings are unchanged; equal values in repeated rows get equal
+pseudonyms; very long texts are searched whole; an empty table gives an empty one; other columns stay, but for one
+of the name of the spans. No shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from .shared import without
 
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
-DEFAULT_KEY = b"chronoweave-pseudonyms"
 
 
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
@@ -78,10 +81,7 @@ def _iban(s: str, key: bytes) -> str | None:
     country, check, rest = plain[:2], plain[2:4], plain[4:]
     if not 15 <= len(plain) <= 34 or 98 - _iban_check(country, rest) != int(check):
         return None
-    d = _digits(rest)
-    if not d:
-        return None
-    rest = _refill(rest, str(permute(int(d), 10 ** len(d), key, f"iban{country}")).zfill(len(d)))
+    rest = _letters(rest, key, f"iban{country}")
     it = iter(f"{country}{98 - _iban_check(country, rest):02d}{rest}")
     return "".join(c if c == " " else next(it) for c in s)
 
@@ -213,7 +213,7 @@ def _ends(kind: str, text: str, m: re.Match) -> list[int]:
     return sorted(ends, key=lambda e: bool(tight) and e > body + tight.end())
 
 
-def findings(text: str, key: bytes = DEFAULT_KEY) -> list[tuple[int, int, str, str]]:
+def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) in order, without overlaps."""
     found = []
     for order, (kind, (pattern, _)) in enumerate(FINDERS.items()):
@@ -263,7 +263,7 @@ def _replaced(batches: Iterator[pa.RecordBatch], key: bytes):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.list_(span))], ["row", "text", "spans"])
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", out: str = "pii", key: bytes = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", out: str = "pii") -> DataFrame:
     """docs with pseudonyms in text_col, and one more column: the spans replaced (places in the old text); a column of its name goes."""
     docs = without(docs, out)
     names = [f"c{i}" for i, c in enumerate(docs.columns) if c != text_col]

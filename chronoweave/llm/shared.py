@@ -1,63 +1,17 @@
-"""The folder that driver and executors share, and tables written there to cut lineage.
-
-A written table survives lost executors: what reads it reads files, not an executor's memory.
-"""
+"""What the operators of this subpackage share: written tables, checked broadcasts, and sessions for Arrow operators."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.plans.storage import clear, fresh_path, recording, remove, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (a local session), a folder of this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = f"file://{tempfile.gettempdir()}/chronoweave-shared"
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_recorded: list[list[str]] = []
-
-
-@contextmanager
-def recording(paths: list[str]) -> Iterator[None]:
-    """Within, notes the tables that are written, for `remove`."""
-    _recorded.append(paths)
-    try:
-        yield
-    finally:
-        _recorded.pop()
-
-
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that nothing reads any more, on any file system."""
-    for path in paths:
-        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-    paths.clear()
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder."""
-    path = fresh_path(df.sparkSession, name)
-    if _recorded:
-        _recorded[-1].append(path)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["broadcast_if_small", "clear", "fresh_path", "recording", "remove", "shared_dir", "ship", "without", "written"]
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -2,14 +2,21 @@
 
 One image holds a run of documents in ascending id order:
 
-    magic "CWEF0001" | n_docs u64 | n_ids u64 | width u8 | low_bits u8 | pad 6 | n_high u64 | n_null u64
-    document keys i64[n_docs] (the first n_null are null)
-    low bits, packed | high bits, packed | select samples u32 | ids, little-endian, width bytes each
-
-The n_docs + 1 boundaries are Elias-Fano coded: low_bits of each stand packed, the rest in unary; a sample
-of every 256th one bit's place lets select find a boundary with one short scan, so no 64-bit table is kept.
-Images are rows of a Parquet table in Spark's shared storage (shard, base within the shard, image): the
-writer's commit protocol makes retried tasks safe, on any file system Spark can write.
+    magic "CWEF0002" | n_docs u64 | n_ids u64 | width u8 | pad 7 | n_null u64 | least key i64
+    keys of the other documents less the least one, Elias-Fano | boundaries, n_docs + 1, Elias-Fano
+    ids, little-endian, width bytes each
+
+An Elias-Fano sequence stands as: low_bits u8 | pad 7 | n_high u64 | low bits, packed | high bits in unary |
+select samples u32, the place of every 256th one bit. Select finds a boundary by one short scan from a sample, or
+many at once by a sum over bytes, so no 64-bit table is kept, neither of boundaries nor of document keys. Images
+are rows of an uncompressed Parquet table in Spark's shared storage (shard, base within the shard, image): the
+writer's commit protocol makes retried tasks safe, on any file system Spark can write, and one document is read
+from one image.
+
+Defined results: null and empty texts have the end id only; null ids come first, rows of equal id in the order of
+their texts' checksums; repeated rows are documents of their own; a text longer than an image has its own; an empty
+table gives an empty one; other columns are not looked at. Strings of special tokens in a text get the special
+ids, as the library has it, unless special_tokens=False.
 """
 
 from __future__ import annotations
@@ -25,13 +32,14 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .units import WORD, units
 
-MAGIC = b"CWEF0001"
-_HEAD = struct.Struct("<8sQQBB6xQQ")
+MAGIC = b"CWEF0002"
+_HEAD = struct.Struct("<8sQQB7xQq")
+_SEQUENCE = struct.Struct("<B7xQ")
 SAMPLE = 256
 #: Ids in an image; a longer document has an image of its own.
 IMAGE_IDS = 1 << 19
@@ -39,23 +47,42 @@ IMAGE_IDS = 1 << 19
 KEPT_UNITS = 600_000
 
 
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
+_COUNT = _ONES.sum(axis=1)
+#: Place of the k-th one bit of a byte.
+_PLACE = np.array([[*np.flatnonzero(bits), *[0] * (8 - bits.sum())] for bits in _ONES])
+
+
 class EliasFano:
-    """A monotone sequence from 0 up: sequence[i] by select, or all at once."""
+    """An ascending sequence from 0 up: one value by select, or many."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = values.astype(np.int64)
+        values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         low_bits = max(0, (top // max(1, n)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(low_bits)) & 1
-        ones = (values >> low_bits) + np.arange(n)
+        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
         return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high, bitorder="little"), ones[::SAMPLE].astype("<u4"))
 
+    def dump(self) -> bytes:
+        return b"".join([_SEQUENCE.pack(self.low_bits, len(self.high)), self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()])
+
+    @classmethod
+    def load(cls, image: bytes, at: int, n: int) -> tuple[EliasFano, int]:
+        """The sequence of n values at a place of an image, and the place behind it."""
+        low_bits, n_high = _SEQUENCE.unpack_from(image, at)
+        at, parts = at + _SEQUENCE.size, []
+        for kind, count in (("u1", (n * low_bits + 7) // 8), ("u1", n_high), ("<u4", -(-n // SAMPLE))):
+            parts.append(np.frombuffer(image, kind, count, at))
+            at += parts[-1].nbytes
+        return cls(n, low_bits, *parts), at
+
     def __getitem__(self, i: int) -> int:
         """One value: from the sample before it, count one bits to the i-th."""
         at = int(self.samples[i // SAMPLE])
@@ -75,39 +102,47 @@ class EliasFano:
             low |= (int(self.low[p >> 3]) >> (p & 7) & 1) << k
         return (one - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        values = (ones - np.arange(self.n)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            values |= (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Many values: one bits are summed byte by byte, and found by search."""
+        before = np.concatenate(([0], np.cumsum(_COUNT[self.high])))
+        byte = np.searchsorted(before, i, side="right") - 1
+        one = byte * 8 + _PLACE[self.high[byte], i - before[byte]]
+        values = (one - i).astype(np.uint64) << np.uint64(self.low_bits)
+        for k in range(self.low_bits):
+            p = i * self.low_bits + k
+            values |= (self.low[p >> 3].astype(np.uint64) >> (p & 7).astype(np.uint64) & np.uint64(1)) << np.uint64(k)
         return values
 
 
 def pack(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """An image of documents, whose ids are given as bytes; null keys come first."""
-    bounds = EliasFano.of(np.concatenate(([0], np.cumsum([len(x) // width for x in ids]))).astype(np.int64))
+    """An image of documents, whose ids are given as bytes; null keys come first, the others ascend."""
+    n_null = sum(k is None for k in keys)
+    least = keys[n_null] if n_null < len(keys) else 0
     flat = b"".join(ids)
-    head = _HEAD.pack(MAGIC, len(keys), len(flat) // width, width, bounds.low_bits, len(bounds.high), sum(k is None for k in keys))
-    return b"".join([head, np.array([k or 0 for k in keys], "<i8").tobytes(), bounds.low.tobytes(), bounds.high.tobytes(), bounds.samples.tobytes(), flat])
+    bounds = np.concatenate(([0], np.cumsum([len(x) // width for x in ids], dtype=np.int64)))
+    head = _HEAD.pack(MAGIC, len(keys), len(flat) // width, width, n_null, least)
+    # Keys may span more than 63 bits: their differences are taken modulo 2**64.
+    return b"".join([head, EliasFano.of(np.array(keys[n_null:], np.int64).astype(np.uint64) - np.uint64(least % (1 << 64))).dump(), EliasFano.of(bounds).dump(), flat])
+
 
+class Image:
+    """A packed image, of which only what is asked for is decoded."""
 
-def unpack(image: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """Keys, boundaries and ids of an image."""
-    magic, n, n_ids, width, low_bits, n_high, n_null = _HEAD.unpack_from(image)
-    if magic != MAGIC:
-        raise ValueError("not a token-id image")
-    at = _HEAD.size
+    def __init__(self, image: bytes):
+        magic, self.n, n_ids, width, self.n_null, self.least = _HEAD.unpack_from(image)
+        if magic != MAGIC:
+            raise ValueError("not a token-id image")
+        self.keys_, at = EliasFano.load(image, _HEAD.size, self.n - self.n_null)
+        self.bounds, at = EliasFano.load(image, at, self.n + 1)
+        self.ids = np.frombuffer(image, f"<u{width}", n_ids, at)
 
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(image, kind, count, at)
-        at += out.nbytes
-        return out
+    def keys(self) -> pa.Array:
+        values = self.keys_.select(np.arange(self.n - self.n_null)) + np.uint64(self.least % (1 << 64))
+        return pa.concat_arrays([pa.nulls(self.n_null, pa.int64()), pa.array(values.view(np.int64))])
 
-    keys = take("<i8", n).tolist()
-    bounds = EliasFano(n + 1, low_bits, take("u1", ((n + 1) * low_bits + 7) // 8), take("u1", n_high), take("<u4", n // SAMPLE + 1))
-    return [None] * n_null + keys[n_null:], bounds, take(f"<u{width}", n_ids)
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the i-th document."""
+        return self.ids[self.bounds[i] : self.bounds[i + 1]]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -132,13 +167,15 @@ class Encoder(dict):
     follow it are pre-tokens of their own. All else goes through the library's whole pipeline.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not special_tokens
         kinds = json.loads(self.library.to_str())
+        #: Strings that the library finds before it cuts anything; a text that has one goes through it whole.
+        self.whole = [t["content"] for t in kinds["added_tokens"] if special_tokens or not t["special"]]
         step = kinds["pre_tokenizer"] or {}
         self.plain = kinds["normalizer"] is None and step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True)
         self.model = self.library.model
@@ -160,16 +197,18 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, little-endian, width bytes each."""
+        if any(w in text for w in self.whole):
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, units(text)))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_tokens: bool = True) -> Encoder:
+    return Encoder(path, special_tokens)
 
 
-def _images(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
-    pieces, shard = encoder(path), TaskContext.get().partitionId()
+def _images(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special_tokens: bool):
+    pieces, shard = encoder(path, special_tokens), TaskContext.get().partitionId()
     base, keys, held, n = 0, [], [], 0
     end = end_id.to_bytes(pieces.width, "little")
     names = ["shard", "base", "n_docs", "n_ids", "image"]
@@ -191,7 +230,7 @@ def _images(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
         yield image()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_tokens: bool = True) -> None:
     """Writes the ids of all texts, each with end_id, in ascending id order (nulls first, ties by checksum).
 
     Null texts are empty. The ids of docs must be integers. One shuffle, the range partition by id.
@@ -199,22 +238,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     text = docs[f"`{text_col}`"].cast("string")
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), text.alias("text")).repartitionByRange("id")
     rows = rows.sortWithinPartitions("id", F.crc32(F.coalesce("text", F.lit(""))))
-    images = rows.mapInArrow(partial(_images, path=tokenizer, end_id=end_id), "shard int, base long, n_docs long, n_ids long, image binary")
-    images.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+    images = rows.mapInArrow(partial(_images, path=tokenizer, end_id=end_id, special_tokens=special_tokens), "shard int, base long, n_docs long, n_ids long, image binary")
+    images.write.option("compression", "uncompressed").option("parquet.block.size", str(4 << 20)).parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], checksum: bool):
     names = ["id", "start", "n_tokens", "ids_crc32" if checksum else "ids"]
     for batch in batches:
-        for base, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            keys, bounds, ids = unpack(image.as_py())
-            at = bounds.all()
+        for base, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            image = Image(raw.as_py())
+            at = image.bounds.select(np.arange(image.n + 1)).astype(np.int64)
             if checksum:
-                wide = memoryview(ids.astype("<u4")).cast("B")
+                wide = memoryview(image.ids.astype("<u4")).cast("B")
                 last = pa.array([zlib.crc32(wide[4 * b : 4 * e]) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
             else:
-                last = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), last], names)
+                last = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(image.ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([image.keys(), pa.array(at[:-1] + base), pa.array(np.diff(at)), last], names)
+
+
+_IMAGES = "shard int, base long, n_docs long, n_ids long, image binary"
 
 
 def read_tokens(spark: SparkSession, path: str, checksum: bool = False) -> DataFrame:
@@ -222,7 +264,7 @@ def read_tokens(spark: SparkSession, path: str, checksum: bool = False) -> DataF
 
     With checksum, instead of the ids, ids_crc32: the unsigned crc32 of them as little-endian unsigned 32-bit integers.
     """
-    images = spark.read.schema("shard int, base long, n_docs long, n_ids long, image binary").parquet(path)
+    images = spark.read.schema(_IMAGES).parquet(path)
     total, starts = 0, []
     for shard, n in sorted(tuple(r) for r in images.groupBy("shard").agg(F.sum("n_ids")).collect()):  # a number for each file
         starts.append((shard, total))
@@ -231,3 +273,20 @@ def read_tokens(spark: SparkSession, path: str, checksum: bool = False) -> DataF
     rows = images.join(offsets, "shard").select((F.col("first") + F.col("base")).alias("base"), "image")
     last = "ids_crc32 long" if checksum else "ids array<int>"
     return rows.mapInArrow(partial(_documents, checksum=checksum), f"id long, start long, n_tokens long, {last}")
+
+
+def read_document(spark: SparkSession, path: str, i: int) -> list[int]:
+    """The ids of the i-th document in the order of ids, by select, from the one image that has it."""
+    images = spark.read.schema(_IMAGES).parquet(path)
+    left = i
+    for shard, n in sorted(tuple(r) for r in images.groupBy("shard").agg(F.sum("n_docs")).collect()):  # a number for each file
+        if left < n:
+            break
+        left -= n
+    else:
+        raise IndexError(f"no document {i}")
+    here = images.where(F.col("shard") == shard)
+    before = F.sum("n_docs").over(Window.orderBy("base").rowsBetween(Window.unboundedPreceding, -1))
+    of = here.select("base", "n_docs", F.coalesce(before, F.lit(0)).alias("first")).where((F.col("first") <= left) & (left < F.col("first") + F.col("n_docs"))).first()
+    image = Image(bytes(here.where(F.col("base") == of["base"]).select("image").first()["image"]))
+    return image.document(left - of["first"]).tolist()
