@@ -89,8 +89,8 @@ def _vote(bad: str, good: str) -> Column:
     return F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0)).cast("tinyint")
 
 
-#: name -> (bad, good), SQL over the features; integers only, so that every engine agrees. Each defect has two rules
-#: or more: the estimation learns a rule's accuracy from its agreement with others.
+#: name -> (bad, good), SQL over the features; integers only, so that every engine agrees. Each defect has two rules,
+#: over different counts: the estimation learns a rule's accuracy from its agreement with others.
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words < 30", "n_words >= 80"),
     "word_length": ("word_chars > 15 * n_words OR word_chars < 2 * n_words", "word_chars <= 10 * n_words AND word_chars >= 3 * n_words"),
@@ -101,7 +101,6 @@ RULES: dict[str, tuple[str, str]] = {
     "capitals": ("10 * n_capitals > 3 * word_chars", "5 * n_capitals <= word_chars"),
     "exclamations": ("5 * n_exclamations > n_words", "50 * n_exclamations <= n_words"),
     "marked_words": ("10 * n_marked > n_words", "50 * n_marked <= n_words"),
-    "symbol_characters": ("50 * n_symbols > word_chars", "400 * n_symbols <= word_chars"),
 }
 #: Rounds of EM.
 ROUNDS = 12

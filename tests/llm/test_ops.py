@@ -349,7 +349,8 @@ def test_quality_keeps_columns(table):
 
 def test_em_on_patterns_by_hand(spark):
     """The estimate equals a plain EM over the same counts."""
-    rows = [(*[1] * 10, 80), (*[1] * 8, -1, -1, 9), (-1, -1, *[1] * 8, 6), (*[0] * 10, 5)]
+    k = len(quality.RULES)
+    rows = [(*[1] * k, 80), (*[1] * (k - 2), -1, -1, 9), (-1, -1, *[1] * (k - 2), 6), (*[0] * k, 5)]
     names = [quality.PREFIX + r for r in quality.RULES]
     patterns = spark.createDataFrame(rows, ", ".join(f"{n} tinyint" for n in names) + ", n long")
     weights, prior = quality.estimate(patterns, rounds=3)
@@ -357,7 +358,7 @@ def test_em_on_patterns_by_hand(spark):
     for _ in range(3):
         good, n = sum(a * r[-1] for a, r in zip(q, rows, strict=True)), sum(r[-1] for r in rows)
         w = []
-        for j in range(10):
+        for j in range(k):
             each = {}
             for v in (-1, 0, 1):
                 g = sum(a * r[-1] for a, r in zip(q, rows, strict=True) if r[j] == v)
@@ -365,9 +366,9 @@ def test_em_on_patterns_by_hand(spark):
                 each[v] = math.log((g + 0.5) / (good + 1.5)) - math.log((m - g + 0.5) / (n - good + 1.5))
             w.append({-1: min(0, each[-1]), 0: each[0], 1: max(0, each[1])})
         share = min(0.99, max(0.01, good / n))
-        q = [1 / (1 + math.exp(-(math.log(share / (1 - share)) + sum(w[j][r[j]] for j in range(10))))) for r in rows]
+        q = [1 / (1 + math.exp(-(math.log(share / (1 - share)) + sum(w[j][r[j]] for j in range(k))))) for r in rows]
     assert prior == pytest.approx(share)
-    assert [weights[k][v] for k in quality.RULES for v in (-1, 0, 1)] == pytest.approx([w[j][v] for j in range(10) for v in (-1, 0, 1)])
+    assert [weights[k][v] for k in quality.RULES for v in (-1, 0, 1)] == pytest.approx([w[j][v] for j in range(k) for v in (-1, 0, 1)])
 
 
 # 5 pseudonyms
