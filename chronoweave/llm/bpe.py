@@ -1,11 +1,12 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task takes its documents block by block as a corpus of its own: the distinct pre-tokens that it does not
-know yet become one array of symbols linked to their neighbours; an inverted index leads from a pair's rank to
-the positions where it stands. Ranks are applied in ascending order, every merge at all its positions at once; only the
-touched neighbours get new pairs, which join the index. Words are independent of each other, so a block's
-replay gives what the whole corpus's would, without a shuffle. A word in which a merge brings up a pair of a
-lower rank is done again alone, in the sequential order, so results are always those of greedy merging.
+The distinct pre-tokens of the whole corpus are gathered first (each task sends one that it has not sent yet) and
+dealt to parts by hash. A part's words become one array of symbols linked to their neighbours; an inverted index
+leads from a pair's rank to the positions where it stands. Ranks are applied in ascending order, every merge at all
+its positions at once; only the touched neighbours get new pairs, which join the index. So a word is merged once for
+the corpus. A word in which a merge brings up a pair of a lower rank is done again alone, in the sequential order, so
+results are always those of greedy merging. The words' ids are stored by 128-bit hash, in sorted arrays that workers
+memory-map; texts are put together from them without a shuffle of texts.
 
 Defined results: null and empty texts have no ids; equal texts, repeated rows among them, have equal ids; very long
 texts are a block of their own and encoded whole; an empty table gives an empty one; columns stay, but for those
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import without
+from .mapped import by_part, local_folder, mapped, part_of, store
+from .shared import fresh_path, without, written
 from .units import WORD, units
 from .words import blocks
 
 #: Characters of text in a block, and pieces whose ids a task keeps, twice, from block to block.
 BLOCK_CHARS = 3 << 20
 KEPT_PIECES = 200_000
+#: Words that a task remembers to have sent, and characters of text for a part of the words.
+SENT_WORDS, PART_CHARS = 400_000, 32 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -168,11 +174,92 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return ids, offsets
 
 
+def words_of(piece: str, v: Vocabulary) -> list[str]:
+    """The pre-tokens of a piece."""
+    m = WORD.fullmatch(piece)
+    return v.split(piece) if m is None else list(m.groups()) if m[2] else [piece]
+
+
+def _digests(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the words' hashes."""
+    raw = b"".join([blake2b(w.encode("utf-8", "replace"), digest_size=16).digest() for w in words])
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _sent(batches: Iterator[pa.RecordBatch], path: str, pattern: str, parts: int):
+    """Words of a task's texts that it has not sent yet, by part."""
+    v, sent = vocabulary(path, pattern), set()
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for b, e in blocks([len(t or "") for t in texts], BLOCK_CHARS):
+            pieces = set().union(*[units(t) for t in texts[b:e] if t])
+            new = list({w for p in pieces for w in words_of(p, v)} - sent)
+            if len(sent) + len(new) > SENT_WORDS:
+                sent.clear()
+            sent.update(new)
+            at = [(p, pa.array([new[i] for i in here.tolist()], pa.string())) for p, here in by_part(part_of(_digests(new)[0], parts))]
+            if at:
+                cuts = np.cumsum([0, *(len(w) for _, w in at)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in at], pa.int32()), pa.ListArray.from_arrays(cuts, pa.concat_arrays([w for _, w in at]))], ["part", "words"])
+
+
+def _replayed(table: pa.Table, folder: str, path: str, pattern: str) -> pa.Table:
+    """One part of the corpus's words: merged, and stored by hash."""
+    part = table.column("part")[0].as_py()
+    words = list(set(table.column("words").combine_chunks().flatten().to_pylist()))
+    ids, at = replay([w.encode("utf-8", "replace") for w in words], vocabulary(path, pattern))
+    high, low = _digests(words)
+    order = np.argsort(high)
+    size = np.diff(at)[order]
+    moved = np.concatenate(([0], np.cumsum(size)))
+    source = np.repeat(at[:-1][order] - moved[:-1], size) + np.arange(len(ids))
+    store(folder, f"words-{part}", high=high[order], low=low[order], at=moved.astype("<u4"), ids=ids[source].astype("<i4"))
+    return pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([len(words)], pa.int64())], ["part", "n"])
+
+
+class Lexicon:
+    """The ids of the corpus's words, in the files of their parts."""
+
+    def __init__(self, folder: str, parts: int):
+        self.folder, self.parts = folder, parts
+
+    def find(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, int32."""
+        out: list[bytes] = [b""] * len(words)
+        high, low = _digests(words)
+        for p, here in by_part(part_of(high, self.parts)):
+            arrays = mapped(f"{self.folder}/words-{p}")
+            at = np.searchsorted(arrays["high"], high[here])
+            while (other := arrays["low"][at] != low[here]).any():  # equal first halves: the next one
+                at[other] += 1
+            begin, end = arrays["at"][at].astype(np.int64), arrays["at"][at + 1].astype(np.int64)
+            size = end - begin
+            ends = np.cumsum(size)
+            raw = arrays["ids"][np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]))].tobytes()
+            for i, b, e in zip(here.tolist(), (4 * (ends - size)).tolist(), (4 * ends).tolist(), strict=True):
+                out[i] = raw[b:e]
+        return out
+
+
+def lexicon(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> Lexicon:
+    """Gathers the distinct words of all texts of docs, and merges each of them once."""
+    folder = local_folder(fresh_path(docs.sparkSession, "words"))
+    texts = docs.select(docs[f"`{text_col}`"].cast("string").alias("text"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(chars / PART_CHARS))
+    words = texts.mapInArrow(partial(_sent, path=path, pattern=pattern, parts=parts), "part int, words array<string>")
+    whole = words.unionByName(docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), F.array().cast("array<string>").alias("words")))
+    step = partial(_replayed, folder=folder, path=path, pattern=pattern)
+    written(whole.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: step(t), "part int, n long"), "lexicon")
+    return Lexicon(folder, parts)
+
+
 class Pieces(dict):
-    """Pieces of text to their ids (int32, as bytes). New ones are learned a block at a time, by replay."""
+    """Pieces of text to their ids (int32, as bytes). New ones are put together a block at a time, from the words'."""
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
+    def __init__(self, v: Vocabulary, words: Lexicon):
+        self.v, self.words = v, words
         self.older: dict[str, bytes] = {}
 
     def learn(self, pieces: list[list[str]]) -> None:
@@ -187,15 +274,11 @@ class Pieces(dict):
         word_no: dict[str, int] = {}
         of_piece, cuts = [], [0]
         for u in new:
-            m = WORD.fullmatch(u)
-            words = self.v.split(u) if m is None else m.groups() if m[2] else (u,)
-            of_piece.extend([word_no.setdefault(w, len(word_no)) for w in words])
+            of_piece.extend([word_no.setdefault(w, len(word_no)) for w in words_of(u, self.v)])
             cuts.append(len(of_piece))
-        ids, at = replay([w.encode("utf-8", "replace") for w in word_no], self.v)
-        raw, ends = ids.astype("<i4").tobytes(), (4 * at).tolist()
-        words = [raw[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
+        ids = self.words.find(list(word_no))
         for u, b, e in zip(new, cuts[:-1], cuts[1:], strict=True):
-            self[u] = words[of_piece[b]] if e - b == 1 else b"".join([words[w] for w in of_piece[b:e]])
+            self[u] = ids[of_piece[b]] if e - b == 1 else b"".join([ids[w] for w in of_piece[b:e]])
 
 
 def encode_block(texts: list[str | None], known: Pieces) -> list[bytes]:
@@ -209,8 +292,8 @@ def _text_of(ids: bytes, token) -> bytes:
     return b"".join(map(token, np.frombuffer(ids, np.int32).tolist()))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, path: str, pattern: str, back: bool):
-    known = Pieces(vocabulary(path, pattern))  # a task's own, so that an idle worker holds none
+def _encoded(batches: Iterator[pa.RecordBatch], text_at: int, path: str, pattern: str, words: Lexicon, back: bool):
+    known = Pieces(vocabulary(path, pattern), words)  # a task's own, so that an idle worker holds none
     token = known.v.bytes.__getitem__
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
@@ -232,7 +315,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    run = partial(_encoded, text_at=docs.columns.index(text_col), path=path, pattern=pattern, back=bool(decoded))
+    run = partial(_encoded, text_at=docs.columns.index(text_col), path=path, pattern=pattern, words=lexicon(docs, path, pattern, text_col), back=bool(decoded))
     return plain.mapInArrow(run, f"{kinds}, ids array<int>" + ", decoded binary" * bool(decoded)).toDF(*docs.columns, out, *[decoded] * bool(decoded))
 
 

@@ -26,19 +26,16 @@ hashed in slices. Other columns stay.
 from __future__ import annotations
 
 import math
-import mmap
-import os
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
-from urllib.parse import unquote, urlparse
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .mapped import by_part, local_folder, mapped, part_of, store
 from .shared import fresh_path, written
 from .words import blocks, mix, word_hashes
 
@@ -73,13 +70,6 @@ class Model:
     rest: float = 1.0
 
 
-def _local(path: str) -> str:
-    url = urlparse(path)
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"the model's arrays are memory-mapped: spark.checkpoint.dir must be a mounted file system, not {url.scheme}://")
-    return unquote(url.path) if url.scheme else path
-
-
 # Arrays in files and in rows
 
 
@@ -89,32 +79,6 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(k[2])))
 
 
-def _store(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Writes arrays one after another, after a line that tells their types and lengths; a retry replaces the file whole."""
-    os.makedirs(folder, exist_ok=True)
-    line = ",".join(f"{k}:{a.dtype.str}:{len(a)}" for k, a in arrays.items()).encode().ljust(255) + b"\n"
-    part = f"{folder}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
-    with open(part, "wb") as out:
-        out.write(line)
-        for a in arrays.values():
-            a.tofile(out)
-            out.write(bytes(-a.nbytes % 8))
-    os.replace(part, f"{folder}/{name}")
-
-
-@lru_cache(maxsize=16384)
-def _mapped(file: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped; no descriptor stays open where Python can do without."""
-    with open(file, "rb") as f:
-        raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
-    out, at = {}, 256
-    for one in raw[:256].decode().strip().split(","):
-        name, kind, n = one.split(":")
-        out[name] = np.frombuffer(raw, np.dtype(kind), int(n), at)
-        at += out[name].nbytes + -out[name].nbytes % 8
-    return out
-
-
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, narrowed, each as planes of bytes, compressed, after a line of widths and sizes."""
     head, body = [len(arrays[0])], []
@@ -163,14 +127,6 @@ def _add(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, at) if len(at) else values[:0]
 
 
-def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each part, and the places that belong to it, in their order."""
-    order = np.argsort(part.astype(np.uint16) if len(part) and int(part.max()) < 1 << 16 else part, kind="stable")
-    cuts = [*_runs(part[order]).tolist(), len(order)]
-    for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(part[order[b]]), order[b:e]
-
-
 # Hash arrays: the top bits of a key are its bucket, the 32 bits after them are kept, in order.
 
 
@@ -217,11 +173,6 @@ def _count_of(arrays: dict[str, np.ndarray], key: np.ndarray) -> np.ndarray:
 # How words and n-grams are dealt
 
 
-def _of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each hash; ascending hashes have ascending parts."""
-    return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-
-
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a * _A + _A) + b * _B)
 
@@ -236,19 +187,19 @@ def _side(count: np.ndarray, most: int) -> np.ndarray:
 
 
 def _cell(u: np.ndarray, v: np.ndarray, w: np.ndarray, side: np.ndarray, parts: int) -> np.ndarray:
-    return _of(_triple(u % side, v, w % side), parts)
+    return part_of(_triple(u % side, v, w % side), parts)
 
 
 def _home(v: np.ndarray, parts: int) -> np.ndarray:
     """The one cell of a middle word without a grid."""
-    return _of(_triple(np.zeros_like(v), v, np.zeros_like(v)), parts)
+    return part_of(_triple(np.zeros_like(v), v, np.zeros_like(v)), parts)
 
 
 def _words(hashes: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and counts of ascending hashes; an unknown word has the count 0."""
     number, count = np.full(len(hashes), UNKNOWN), np.zeros(len(hashes), np.int64)
-    for p, here in _by_part(_of(hashes, m.word_parts)):
-        arrays = _mapped(f"{m.path}/words-{p}")
+    for p, here in by_part(part_of(hashes, m.word_parts)):
+        arrays = mapped(f"{m.path}/words-{p}")
         if len(arrays["key"]):
             at = np.minimum(np.searchsorted(arrays["key"], hashes[here]), len(arrays["key"]) - 1)
             there = arrays["key"][at] == hashes[here]
@@ -264,8 +215,8 @@ def _of_numbers(numbers: np.ndarray, m: Model, name: str, fields: tuple[str, ...
     out = [np.zeros(len(numbers), np.int64) for _ in fields]
     known = np.flatnonzero((numbers != UNKNOWN) & (numbers > 0))
     place = numbers[known] - _U(1)
-    for p, here in _by_part((place >> _PLACE).astype(np.int64)):
-        arrays = _mapped(f"{m.path}/{name}-{p}")
+    for p, here in by_part((place >> _PLACE).astype(np.int64)):
+        arrays = mapped(f"{m.path}/{name}-{p}")
         at = (place[here] & _U((1 << int(_PLACE)) - 1)).astype(np.int64)
         for values, field in zip(out, fields, strict=True):
             values[known[here]] = arrays[field][at]
@@ -335,7 +286,7 @@ def _worded(batches: Iterator[pa.RecordBatch], m: Model):
     """Words and begins of each block with their counts, by part of the words."""
     for tokens, offsets in _held(batches):
         key, count = np.unique(np.concatenate((tokens, np.full(len(offsets) - 1, BEGIN))), return_counts=True)
-        for p, here in _by_part(_of(key, m.word_parts)):
+        for p, here in by_part(part_of(key, m.word_parts)):
             yield _row(p, _packed(key[here], count[here]))
 
 
@@ -349,7 +300,7 @@ def _merge_words(table: pa.Table, m: Model) -> pa.Table:
     key, count = key[at], _add(count, at)
     if len(key) >= 1 << int(_PLACE):
         raise ValueError("too many words in a part: lower WORDS_CHARS")
-    _store(m.path, f"words-{part}", key=key, count=_narrow(count))
+    store(m.path, f"words-{part}", key=key, count=_narrow(count))
     real = key != BEGIN
     return _stats([int(count[real].sum()), int(real.sum())])
 
@@ -378,7 +329,7 @@ def _counted(batches: Iterator[pa.RecordBatch], m: Model):
             v, u, w = number[v], number[u], number[w]
             with np.errstate(over="ignore"):
                 part = _cell(u, v, w, side, m.parts)
-            for p, here in _by_part(part):
+            for p, here in by_part(part):
                 yield _row(p, _packed(v[here], u[here], w[here], count[here]))
 
 
@@ -396,7 +347,7 @@ def _store_contexts(name: str, u: np.ndarray, v: np.ndarray, sums: list[np.ndarr
     """Contexts seen more than once, and all that begin a text."""
     keep = (sums[0] > 1) | np.isin(u, begin)
     order, found = _heads(_pair(u[keep], v[keep]))
-    _store(m.path, name, **{f"m{k}": a for k, a in found.items()}, **{f"n{i}": _narrow(s[keep][order]) for i, s in enumerate(sums)})
+    store(m.path, name, **{f"m{k}": a for k, a in found.items()}, **{f"n{i}": _narrow(s[keep][order]) for i, s in enumerate(sums)})
 
 
 def _of_words(v: np.ndarray, w: np.ndarray, n: np.ndarray, m: Model) -> list[tuple[int, int, bytes | None, bytes | None]]:
@@ -406,8 +357,8 @@ def _of_words(v: np.ndarray, w: np.ndarray, n: np.ndarray, m: Model) -> list[tup
     at = _runs(v)
     first, sums = v[at], _three(n, at)
     second, pairs = np.unique(w, return_counts=True)
-    a = {p: _packed(first[i], *[s[i] for s in sums]) for p, i in _by_part(((first - _U(1)) >> _PLACE).astype(np.int64))}
-    b = {p: _packed(second[i], pairs[i]) for p, i in _by_part(((second - _U(1)) >> _PLACE).astype(np.int64))}
+    a = {p: _packed(first[i], *[s[i] for s in sums]) for p, i in by_part(((first - _U(1)) >> _PLACE).astype(np.int64))}
+    b = {p: _packed(second[i], pairs[i]) for p, i in by_part(((second - _U(1)) >> _PLACE).astype(np.int64))}
     return [(2, p, a.get(p), b.get(p)) for p in sorted(a.keys() | b.keys())]
 
 
@@ -425,7 +376,7 @@ def _merge_part(table: pa.Table, m: Model) -> pa.Table:
     v, u, w, count = v[at], u[at], w[at], _add(count, at)
     rows = []
     with np.errstate(over="ignore"):
-        _store(m.path, f"grams-{part}", **_counts(_triple(u, v, w), count))
+        store(m.path, f"grams-{part}", **_counts(_triple(u, v, w), count))
         at = _runs(v, u)
         cv, cu, sums = v[at], u[at], _three(count, at)
         order = _ordered(v, w)
@@ -435,12 +386,12 @@ def _merge_part(table: pa.Table, m: Model) -> pa.Table:
         whole, whole_context = _sides_of(pv, m) == 1, _sides_of(cv, m) == 1
         begin = _words(np.array([BEGIN]), m)[0]
         _store_contexts(f"contexts-{part}", cu[whole_context], cv[whole_context], [s[whole_context] for s in sums], m, begin)
-        _store(m.path, f"pairs-{part}", **_counts(_pair(pv[whole], pw[whole]), n[whole]))
+        store(m.path, f"pairs-{part}", **_counts(_pair(pv[whole], pw[whole]), n[whole]))
         rows += _of_words(pv[whole], pw[whole], n[whole], m)
         cu, cv, sums = cu[~whole_context], cv[~whole_context], [s[~whole_context] for s in sums]
-        a = {p: _packed(cu[i], cv[i], *[s[i] for s in sums]) for p, i in _by_part(_of(_pair(cu, cv), m.parts))}
+        a = {p: _packed(cu[i], cv[i], *[s[i] for s in sums]) for p, i in by_part(part_of(_pair(cu, cv), m.parts))}
         hv, hw, hn = pv[~whole], pw[~whole], n[~whole]
-        b = {p: _packed(hv[i], hw[i], hn[i]) for p, i in _by_part(_of(_pair(hv, hw), m.parts))}
+        b = {p: _packed(hv[i], hw[i], hn[i]) for p, i in by_part(part_of(_pair(hv, hw), m.parts))}
     rows += [(1, p, a.get(p), b.get(p)) for p in sorted(a.keys() | b.keys())]
     return _stats([*_of_counts(count), *_pair_stats(n[whole])], rows)
 
@@ -460,20 +411,20 @@ def _merge_pairs(table: pa.Table, m: Model) -> pa.Table:
         v, w, n = v[order], w[order], n[order].astype(np.int64)
         at = _runs(v, w)
         v, w, n = v[at], w[at], _add(n, at)
-        _store(m.path, f"grid-pairs-{part}", **_counts(_pair(v, w), n))
+        store(m.path, f"grid-pairs-{part}", **_counts(_pair(v, w), n))
     return _stats([0, 0, 0, 0, *_pair_stats(n)], _of_words(v, w, n, m))
 
 
 def _merge_levels(table: pa.Table, m: Model) -> pa.Table:
     """One part of the words: writes, in their order, the words before each and the sums over pairs that begin with it."""
     part = table.column("part")[0].as_py()
-    size = len(_mapped(f"{m.path}/words-{part}")["key"])
+    size = len(mapped(f"{m.path}/words-{part}")["key"])
     place = lambda number: ((number - _U(1)) & _U((1 << int(_PLACE)) - 1)).astype(np.int64)
     v, *sums = _together(table.column("a"), 5)
     w, pairs = _together(table.column("b"), 2)
     n = np.bincount(place(w), pairs, size).astype(np.int64) if len(w) else np.zeros(size, np.int64)
     each = [np.bincount(place(v), s, size).astype(np.int64) if len(v) else np.zeros(size, np.int64) for s in sums]
-    _store(m.path, f"levels-{part}", before=_narrow(n), **{f"n{i}": _narrow(s) for i, s in enumerate(each)})
+    store(m.path, f"levels-{part}", before=_narrow(n), **{f"n{i}": _narrow(s) for i, s in enumerate(each)})
     return _stats([*_of_counts(n), int((n >= 3).sum())])
 
 
@@ -508,10 +459,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     texts = docs.select(docs[f"`{text_col}`"].cast("string").alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     parts, word_parts = (max(1, math.ceil(chars / most)) for most in (PART_CHARS, WORDS_CHARS))
-    m = Model(_local(path), order, parts, word_parts, 1)
+    m = Model(local_folder(path), order, parts, word_parts, 1)
     words = texts.mapInArrow(partial(_worded, m=m), "part int, data binary")
     tokens, n_words = _sum(_by_group(words, word_parts, partial(_merge_words, m=m), "words"), 2)
-    m = Model(_local(path), order, parts, word_parts, max(1, tokens // (8 * parts)), tokens, n_words)
+    m = Model(local_folder(path), order, parts, word_parts, max(1, tokens // (8 * parts)), tokens, n_words)
     grams = texts.mapInArrow(partial(_counted, m=m), "part int, data binary")
     sums = _by_group(grams, parts, partial(_merge_part, m=m), "sums")
     pairs = _by_group(sums.where("kind = 1").select("part", "a", "b"), parts, partial(_merge_pairs, m=m), "pair-sums")
@@ -533,8 +484,8 @@ def _look_up(m: Model, names: tuple[str, str], places: np.ndarray, grid: np.ndar
     """Calls find(arrays, places) for every file that some of the places belong to: a middle word's own part, or a grid's."""
     for on, name, part in ((~grid, names[0], home), (grid, names[1], cell)):
         some = places[on[places]]
-        for p, here in _by_part(part[some]):
-            find(_mapped(f"{m.path}/{name}-{p}"), some[here])
+        for p, here in by_part(part[some]):
+            find(mapped(f"{m.path}/{name}-{p}"), some[here])
 
 
 def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -564,7 +515,7 @@ def _slice_scores(distinct: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndar
     x, y = (pairs >> bits).astype(np.int64), (pairs & _U((1 << 21) - 1)).astype(np.int64)
     key, parts = _pair(number[x], number[y]), m.parts
     n_pair = np.zeros(len(pairs), np.int64)
-    cell = _of(key, parts)
+    cell = part_of(key, parts)
 
     def count_pairs(arrays, here):
         n_pair[here] = _count_of(arrays, key[here])
@@ -587,8 +538,8 @@ def _slice_scores(distinct: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndar
     gu, gv, gw = number[x[c]], number[y[c]], number[gw]
     key_g, cell_g = _triple(gu, gv, gw), _cell(gu, gv, gw, side[y[c]], parts)
     count = np.zeros(len(grams), np.int64)
-    for p, here in _by_part(cell_g):
-        count[here] = _count_of(_mapped(f"{m.path}/grams-{p}"), key_g[here])
+    for p, here in by_part(cell_g):
+        count[here] = _count_of(mapped(f"{m.path}/grams-{p}"), key_g[here])
 
     lower = _discount(n_pair[of_pair[: len(w)]], m.discounts[1]) / np.maximum(total[v], 1) + _weight(total, n, m.discounts[1])[v] * unigram[w]
     of_context = of_pair[len(w) :]
