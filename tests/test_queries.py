@@ -49,3 +49,5 @@ def test_point_queries_and_zoom_do_not_run_python(spark):
     for name in ("zoom_week_most_e", "union_v", "degree_over_time", "attribute_zoom_e"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan, name
+        # Nested loops only against the one row of the graph's span: for vertices, edges, and vertices again in the constraint.
+        assert plan.count("BroadcastNestedLoopJoin") <= (3 if name.startswith("zoom") else 0), name

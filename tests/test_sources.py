@@ -85,11 +85,26 @@ def test_partitions(spark, strategy, n, runs):
     where = {}
     for r in rows:
         assert where.setdefault(r.part, r.p) == r.p
-    if strategy == "consecutive_temporal":
-        parts = {}
-        for r in rows:
-            assert parts.setdefault(r.t, r.part) == r.part
-        assert [parts[t] for t in sorted(parts)] == sorted(parts.values())
+    if "temporal" not in strategy:
+        return
+    width = runs if strategy.startswith("hybrid") else 1
+    groups = -(-12 // width)
+    of = {}
+    for r in rows:
+        of.setdefault(r.t // width, set()).add(r.part)
+    if groups < n:  # parts of its own for every group, the first ones one more where they do not come out even
+        at = 0
+        for i in range(groups):
+            size = n // groups + (i < n % groups)
+            assert of[i] <= set(range(at, at + size))
+            at += size
+        assert at == n
+    else:
+        assert all(len(parts) == 1 for parts in of.values())
+        order = [min(of[i]) for i in range(groups)]
+        sizes = [order.count(p) for p in range(n)]
+        assert max(sizes) - min(sizes) <= 1
+        assert order == ([i % n for i in range(groups)] if strategy == "naive_temporal" else sorted(order))
 
 
 def test_partition_names_and_estimates():
