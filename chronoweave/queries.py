@@ -144,7 +144,7 @@ def interval_difference_list(spark, sf_dir):
 
 @query(f"""WITH {O.TRADE}, q AS (SELECT * FROM v WHERE vid < 1000000000)
 SELECT vid, t_start, t_end, t_start - 7 AS week_before, CAST(date_trunc('month', t_start) - INTERVAL 3 MONTH AS DATE) AS quarter_before, CAST(date_trunc('year', t_start) - INTERVAL 1 YEAR AS DATE) AS year_before,
-CAST((t_end - t_start) // 7 AS INTEGER) AS weeks, CAST(datesub('month', t_start, t_end) // 2 AS INTEGER) AS two_months, CAST(t_start + INTERVAL 6 MONTH AS DATE) AS third_start, CAST(t_start + INTERVAL 8 MONTH AS DATE) AS third_end FROM q""")
+CAST((t_end - t_start) // 7 AS INTEGER) AS weeks, CAST(((year(t_end) - year(t_start)) * 12 + month(t_end) - month(t_start) - CASE WHEN day(t_end) < day(t_start) THEN 1 ELSE 0 END) // 2 AS INTEGER) AS two_months, CAST(t_start + INTERVAL 6 MONTH AS DATE) AS third_start, CAST(t_start + INTERVAL 8 MONTH AS DATE) AS third_end FROM q""")
 def resolution_arithmetic(spark, sf_dir):
     s, e = F.col(START), F.col(END)
     two = Resolution(2, "months")
