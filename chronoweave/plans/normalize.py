@@ -11,6 +11,24 @@ from chronoweave.functions.interval import END, START, overlaps
 
 V_KEY, E_KEY = ["vid"], ["eid", "src", "dst"]
 
+#: Bytes of the input's files for one task. Rows of graphs take some ten times as much in a sort.
+TASK_BYTES = 4 << 20
+
+
+def tasks_for(*dfs: DataFrame) -> int:
+    """Into how many tasks relations made of so many bytes of files are dealt; looks at the sizes of the files only.
+
+    Adaptive execution aims at bytes of compressed shuffle, which for sorted ids and days are a small part of what a
+    task holds of them, and at no more tasks than the session starts with; a number given to repartition stands.
+    """
+    files = {}
+    for df in dfs:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+                files[leaf.relation().location().rootPaths().mkString(",")] = leaf.relation().sizeInBytes()
+    return max(dfs[0].sparkSession.sparkContext.defaultParallelism, -(-sum(files.values()) // TASK_BYTES))
+
 
 def islands(df: DataFrame, keys: Sequence[str], touching: bool = True) -> DataFrame:
     """(keys, t_start, t_end) with overlapping and, if asked, touching intervals of equal keys merged.
@@ -95,11 +113,12 @@ def overlap_join(a: DataFrame, b: DataFrame, on: Column, b_interval: tuple[str,
 
 def constrain_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges clipped to the periods in which both ends exist."""
-    life = coalesce_structure(vertices, V_KEY)
+    n = tasks_for(vertices, edges)
+    life = coalesce_structure(vertices.repartition(n, *V_KEY), V_KEY)
     out = edges
     for end in ("src", "dst"):
         v = life.select(F.col("vid").alias("__v"), F.col(START).alias("__s"), F.col(END).alias("__e"))
-        out = overlap_join(out, v, F.col(end) == F.col("__v"), ("__s", "__e")).drop("__v")
+        out = overlap_join(out.repartition(n, end), v, F.col(end) == F.col("__v"), ("__s", "__e")).drop("__v")
     return out.select(*edges.columns)
 
 
