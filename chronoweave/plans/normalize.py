@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.interval import END, START, overlaps
 
+from .storage import written
+
 V_KEY, E_KEY = ["vid"], ["eid", "src", "dst"]
 
 #: Bytes of the input's files for one task. Rows of graphs take some ten times as much in a sort.
@@ -30,6 +32,21 @@ def tasks_for(*dfs: DataFrame) -> int:
     return max(dfs[0].sparkSession.sparkContext.defaultParallelism, -(-sum(files.values()) // TASK_BYTES))
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """df with the place of each row in an order, from 1.
+
+    Ranges of the order are sorted by tasks of their own and written, so that they stay as they are; a range's first
+    place is the number of rows in those before it. No task sees more than a range and a row for each range.
+    """
+    ranged = df.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    ranged, part = written(ranged, "ordered"), F.shiftright("__m", 33)  # the task's number; the rest counts its rows
+    sizes = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = F.broadcast(sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__o")))
+    place = F.col("__o") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(firsts, part == F.col("__p")).withColumn(out, place).drop("__m", "__p", "__o")
+
+
 def islands(df: DataFrame, keys: Sequence[str], touching: bool = True) -> DataFrame:
     """(keys, t_start, t_end) with overlapping and, if asked, touching intervals of equal keys merged.
 

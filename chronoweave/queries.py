@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O  # noqa: N812
@@ -157,8 +157,7 @@ def resolution_arithmetic(spark, sf_dir):
 @query(f"WITH {O.TRADE} SELECT vid, t_start, t_end, t_start = t_end AS empty, row_number() OVER (ORDER BY t_start, t_end, vid) AS place, least(t_start, DATE '1997-01-01') AS low, greatest(t_end, DATE '1997-01-01') AS high FROM v")
 def interval_order(spark, sf_dir):
     s, e, day = F.col(START), F.col(END), I.date("1997-01-01")
-    v = trade(spark, sf_dir).vertices
-    placed = v.withColumn("place", F.row_number().over(Window.orderBy(I.sort_key(s, e), "vid")).cast("long"))
+    placed = N.numbered(trade(spark, sf_dir).vertices, [START, END, "vid"], "place")
     return placed.select("vid", s, e, I.is_empty(s, e).alias("empty"), "place", I.min_date(s, day).alias("low"), I.max_date(e, day).alias("high"))
 
 

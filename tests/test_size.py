@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave.functions.interval import sort_key
 from chronoweave.plans import normalize
 from chronoweave.queries import QUERIES
 
@@ -27,3 +28,22 @@ def test_tasks_are_counted_from_each_file_once(spark):
     one = normalize.tasks_for(lines)
     assert normalize.tasks_for(lines, lines.select("l_orderkey").union(lines.select("l_suppkey"))) == one
     assert normalize.tasks_for(spark.range(5)) == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["interval_difference", "interval_intersect", "interval_union"])
+def test_sequences_deal_their_relations_by_size(spark, small_tasks, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(dst" in x]
+    assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
+
+
+@pytest.mark.parametrize("name", ["zoom_year_e", "zoom_quarter_e"])
+def test_zooms_deal_their_edges_by_size(spark, small_tasks, name):
+    assert tasks(QUERIES[name](spark, SF)) > 8
+
+
+def test_places_in_an_order_are_given_by_many_tasks(spark, small_tasks):
+    df = QUERIES["interval_order"](spark, SF)
+    assert tasks(df) > 1
+    rows = df.orderBy(sort_key(F.col("t_start"), F.col("t_end")), "vid").collect()
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1))
