@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.interval import END, START
 from chronoweave.plans.graph import TemporalGraph
-from chronoweave.plans.normalize import V_KEY, attached, both_ways, islands, overlap_join, running_total, temporal_aggregate
+from chronoweave.plans.normalize import V_KEY, attached, both_ways, islands, overlap_join, running_total, summed
 from chronoweave.plans.storage import Growing, written
 
 
@@ -15,7 +15,7 @@ def pagerank(g: TemporalGraph, tol: float, reset: float = 0.15, iterations: int
     """Vertices with rank, unnormalised: reset plus what flows in. A vertex passes on a change above tol only.
 
     Changes are intervals, cut only where a vertex gets something else. A round joins the last changes with the
-    weighted edges and sums by receiver; the rounds' changes are one table, summed once at the end.
+    weighted edges and sums by receiver in a sweep; the rounds' changes are one table, summed once at the end.
     """
     e = g.edges.select("src", "dst", START, END) if directed else both_ways(g.edges)
     out = running_total(e.withColumnRenamed("src", "__v"), ["__v"], F.lit(1), "__n").withColumnsRenamed({START: "__s", END: "__e"})
@@ -26,9 +26,9 @@ def pagerank(g: TemporalGraph, tol: float, reset: float = 0.15, iterations: int
     for _ in range(iterations):
         last = change.where(F.col("d") > tol).select(F.col("vid").alias("__v"), F.col("d").alias("__d"), F.col(START).alias("__s"), F.col(END).alias("__e"))
         sent = overlap_join(weighted, last, F.col("src") == F.col("__v"), ("__s", "__e"))
-        got = temporal_aggregate(sent.select(F.col("dst").alias("vid"), START, END, (F.col("__d") * F.col("w")).alias("x")), V_KEY, [F.sum("x").alias("d")])
-        change = changes.add(islands(got, ["vid", "d"]).select("vid", START, END, "d"))
+        got = summed(sent.select(F.col("dst").alias("vid"), START, END, (F.col("__d") * F.col("w")).alias("d")), V_KEY, "d")
+        change = changes.add(got.select("vid", START, END, "d"))
         if change.isEmpty():
             break
-    ranks = temporal_aggregate(changes.all(), V_KEY, [F.sum("d").alias("rank")])
+    ranks = summed(changes.all(), V_KEY, "d").withColumnRenamed("d", "rank")
     return attached(g.vertices, ranks, {"rank": F.col("rank")})

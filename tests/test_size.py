@@ -7,6 +7,8 @@ from chronoweave.functions.interval import sort_key
 from chronoweave.plans import normalize
 from chronoweave.queries import QUERIES
 
+from .graphs import d
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -47,3 +49,13 @@ def test_places_in_an_order_are_given_by_many_tasks(spark, small_tasks):
     assert tasks(df) > 1
     rows = df.orderBy(sort_key(F.col("t_start"), F.col("t_end")), "vid").collect()
     assert [r.place for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_sums_over_time_compute_their_tuples_once(spark, tmp_path):
+    rows = [(1, 2010, 2013, 0.1), (1, 2011, 2013, 0.2), (1, 2015, 2016, 0.3), (1, 2016, 2017, 0.3), (2, 2010, 2010, 0.5)]
+    spark.createDataFrame([(v, d(s), d(e), x) for v, s, e, x in rows], "vid long, t_start date, t_end date, x double").write.parquet(f"{tmp_path}/t")
+    out = normalize.summed(spark.read.parquet(f"{tmp_path}/t"), ["vid"], "x")
+    got = sorted((r.vid, r.t_start.year, r.t_end.year, round(r.x, 9)) for r in out.collect())
+    assert got == [(1, 2010, 2011, 0.1), (1, 2011, 2013, 0.3), (1, 2015, 2017, 0.3)]
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "Join" not in plan
