@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -259,17 +259,27 @@ def interval_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return elementary(boundaries(a, b))
 
 
-def _within(a: DataFrame, b: DataFrame, span: DataFrame) -> DataFrame:
-    lo, hi = span.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi")), ("__lo", "__hi")
-    return interval_union(a, b).join(F.broadcast(lo), (F.col(START) >= F.col(hi[0])) & (F.col(END) <= F.col(hi[1]))).drop(*hi)
+def _within(a: DataFrame, b: DataFrame, span: Callable[[tuple[Column, Column], tuple[Column, Column]], tuple[Column, Column]]) -> DataFrame:
+    """The common refinement within a first and a last day, which span makes of those of a and of b.
+
+    One pass over the relations: a row for each day says in which of them something starts or ends there.
+    """
+    ends = None
+    for side, df in (("a", a), ("b", b)):
+        one = df.select(F.explode(F.array(*[F.struct(F.col(c).alias("d"), F.lit(side + c).alias("k")) for c in (START, END)])).alias("x")).select("x.*")
+        ends = one if ends is None else ends.unionByName(one)
+    days = ends.groupBy("d").agg(*[F.bool_or(F.col("k") == side + c).alias(side + c) for side in "ab" for c in (START, END)])
+    w = Window.partitionBy()
+    first, last = span(*[(F.min(F.when(F.col(side + START), F.col("d"))).over(w), F.max(F.when(F.col(side + END), F.col("d"))).over(w)) for side in "ab"])
+    out = days.select(F.col("d").alias(START), F.lead("d").over(w.orderBy("d")).alias(END), first.alias("__lo"), last.alias("__hi"))
+    return out.where((F.col(START) >= F.col("__lo")) & (F.col(END) <= F.col("__hi"))).drop("__lo", "__hi")
 
 
 def interval_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """The refinement within the spans' intersection."""
-    lows = a.agg(F.min(START).alias("lo"), F.max(END).alias("hi")).union(b.agg(F.min(START), F.max(END)))
-    return _within(a, b, lows.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")))
+    return _within(a, b, lambda of_a, of_b: (F.greatest(of_a[0], of_b[0]), F.least(of_a[1], of_b[1])))
 
 
 def interval_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """The refinement within the left span."""
-    return _within(a, b, a.agg(F.min(START).alias("lo"), F.max(END).alias("hi")))
+    return _within(a, b, lambda of_a, of_b: of_a)

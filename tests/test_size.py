@@ -39,6 +39,27 @@ def test_sequences_deal_their_relations_by_size(spark, small_tasks, name):
     assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
 
 
+@pytest.mark.parametrize("name", ["interval_difference", "interval_intersect", "interval_union"])
+def test_sequences_compute_their_relations_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and "NestedLoopJoin" not in plan
+
+
+def test_sequences_of_spans_that_differ_or_are_missing(spark):
+    def relation(rows):
+        return spark.createDataFrame([(d(s), d(e)) for s, e in rows], "t_start date, t_end date")
+
+    def years(df):
+        return sorted((r.t_start.year, r.t_end.year) for r in df.collect())
+
+    a, b, none = relation([(2010, 2012), (2011, 2015)]), relation([(2013, 2014), (2013, 2018), (2019, 2020)]), relation([])
+    assert years(normalize.interval_union(a, b)) == [(2010, 2011), (2011, 2012), (2012, 2013), (2013, 2014), (2014, 2015), (2015, 2018), (2018, 2019), (2019, 2020)]
+    assert years(normalize.interval_intersect(a, b)) == years(normalize.interval_intersect(b, a)) == [(2013, 2014), (2014, 2015)]
+    assert years(normalize.interval_difference(a, b)) == [(2010, 2011), (2011, 2012), (2012, 2013), (2013, 2014), (2014, 2015)]
+    assert years(normalize.interval_intersect(a, relation([(2020, 2021)]))) == years(normalize.interval_difference(none, a)) == []
+    assert years(normalize.interval_intersect(a, none)) == years(normalize.interval_difference(a, none)) == [(2010, 2011), (2011, 2012), (2012, 2015)]  # as in the SQL, a missing span is no bound
+
+
 @pytest.mark.parametrize("name", ["zoom_year_e", "zoom_quarter_e"])
 def test_zooms_deal_their_edges_by_size(spark, small_tasks, name):
     assert tasks(QUERIES[name](spark, SF)) > 8
