@@ -16,6 +16,7 @@ def pagerank(g: TemporalGraph, tol: float, reset: float = 0.15, iterations: int
 
     Changes are intervals, cut only where a vertex gets something else. A round joins the last changes with the
     weighted edges and sums by receiver in a sweep; the rounds' changes are one table, summed once at the end.
+    g's relations are read several times: a graph that is costly to compute should be stored before.
     """
     e = g.edges.select("src", "dst", START, END) if directed else both_ways(g.edges)
     out = running_total(e.withColumnRenamed("src", "__v"), ["__v"], F.lit(1), "__n").withColumnsRenamed({START: "__s", END: "__e"})

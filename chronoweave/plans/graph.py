@@ -14,6 +14,7 @@ from chronoweave.functions.interval import END, START, contains_date, date, from
 
 from . import normalize
 from .normalize import E_KEY, V_KEY
+from .storage import written
 
 V_COLUMNS = ["vid", START, END, "attr"]
 E_COLUMNS = ["eid", "src", "dst", START, END, "attr"]
@@ -112,5 +113,9 @@ class TemporalGraph:
         g.vertex_tuples.count(), g.edge_tuples.count()
         return g
 
+    def stored(self) -> TemporalGraph:
+        """The coalesced graph as written tables, for what reads its relations several times."""
+        return replace(self, vertex_tuples=written(self.vertices, "vertices"), edge_tuples=written(self.edges, "edges"), v_coalesced=True, e_coalesced=True)
+
     def num_partitions(self) -> tuple[int, int]:
         return self.vertex_tuples.rdd.getNumPartitions(), self.edge_tuples.rdd.getNumPartitions()

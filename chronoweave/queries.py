@@ -444,24 +444,24 @@ def _unpacked(df: DataFrame, s, values: list[str]) -> DataFrame:
     return df.join(seq, (F.col("s") >= F.col(START)) & (F.col("e") <= F.col(END))).select("vid", F.col("s").alias(START), F.col("e").alias(END), *values)
 
 
+def _ranks(spark, sf_dir, **how):
+    g = social(spark, sf_dir).stored()
+    return _unpacked(pagerank.pagerank(g, **how), g.sequence(), ["rank"]).withColumn("rank", F.round(F.col("rank") + 1e-9, 6))
+
+
 @query(O.pagerank(5, "se"))
 def pagerank_directed(spark, sf_dir):
-    g = social(spark, sf_dir)
-    out = pagerank.pagerank(g, tol=0.0, iterations=5)
-    return _unpacked(out, g.sequence(), ["rank"]).withColumn("rank", F.round(F.col("rank") + 1e-9, 6))
+    return _ranks(spark, sf_dir, tol=0.0, iterations=5)
 
 
 @query(O.pagerank(5, "both_ways"))
 def pagerank_undirected(spark, sf_dir):
-    g = social(spark, sf_dir)
-    out = pagerank.pagerank(g, tol=0.0, iterations=5, directed=False)
-    return _unpacked(out, g.sequence(), ["rank"]).withColumn("rank", F.round(F.col("rank") + 1e-9, 6))
+    return _ranks(spark, sf_dir, tol=0.0, iterations=5, directed=False)
 
 
 @query(O.pagerank(12, "se", tol=0.02))
 def pagerank_tolerance(spark, sf_dir):
-    g = social(spark, sf_dir)
-    return _unpacked(pagerank.pagerank(g, tol=0.02, iterations=12), g.sequence(), ["rank"]).withColumn("rank", F.round(F.col("rank") + 1e-9, 6))
+    return _ranks(spark, sf_dir, tol=0.02, iterations=12)
 
 
 _CC = f"""WITH RECURSIVE {O.SNAP}, near AS (SELECT DISTINCT t, src, dst FROM both_ways WHERE src <> dst),

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions.interval import sort_key
+from chronoweave.operators import pagerank
 from chronoweave.plans import normalize
 from chronoweave.queries import QUERIES
 
-from .graphs import d
+from .graphs import d, graph, same_e, same_v
 
 SF = "/root/testdata/sf0.01"
 
@@ -80,3 +81,20 @@ def test_sums_over_time_compute_their_tuples_once(spark, tmp_path):
     assert got == [(1, 2010, 2011, 0.1), (1, 2011, 2013, 0.3), (1, 2015, 2017, 0.3)]
     plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["pagerank_directed", "pagerank_undirected", "pagerank_tolerance"])
+def test_ranks_compute_their_graph_once(spark, monkeypatch, name):
+    graphs, ranked = [], pagerank.pagerank
+    monkeypatch.setattr(pagerank, "pagerank", lambda g, **how: graphs.append(g) or ranked(g, **how))
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    (g,) = graphs
+    assert not [f for df in (g.vertices, g.edges, out) for f in df.inputFiles() if f.endswith("events.parquet")]
+
+
+def test_a_stored_graph_is_the_coalesced_one(spark):
+    g = graph(spark, [(1, "a", 2010, 2012), (1, "a", 2012, 2014), (2, "b", 2010, 2014)], [(7, 1, 2, 2010, 2011, 3), (7, 1, 2, 2011, 2013, 3)])
+    stored = g.stored()
+    same_v(stored.vertices, [(1, "a", 2010, 2014), (2, "b", 2010, 2014)])
+    same_e(stored.edges, [(7, 1, 2, 2010, 2013, 3)])
+    assert stored.vertices is stored.vertex_tuples and stored.edges is stored.edge_tuples
